@@ -13,6 +13,9 @@ _REPO = (
     rf"([^/?#\s]+/[^/?#\s]+?(?:/[^/?#\s]+?)*?|[^/?#\s]+?)(?:\.git)?/*"
     rf"(?:/-(?:/[^?#]*)?|/(?:{_PAGES})(?:/[^?#]*)?)?(?:\?[^#]*)?(?:#.*)?$"
 )
+# Most URLs are written plainly; these take one cheap match.
+_PLAIN = r"^https://(?!www\.)[a-z0-9.-]++/[a-z0-9_-]++/[a-z0-9_-]++$"
+_KEY = r"^https://[^/?#\s]++/[^?#\s]++$"
 _EDGE = r"^[\s <(\[\"']+|[\s >)\]\"',;]+$"
 _COMMIT = r"(?:^|/)[^0-9a-z/]*([0-9a-f]{7,40})(?:\.(?:patch|diff))?[^0-9a-z?#]*(?:[?#].*)?$"
 
@@ -25,7 +28,8 @@ def repo_key(url: Column) -> Column:
     """
     u = F.lower(F.regexp_replace(url, _EDGE, ""))
     u = F.when(u.contains("%"), F.lower(F.coalesce(F.try_url_decode(F.replace(u, F.lit("+"), F.lit("%2B"))), u))).otherwise(u)
-    return F.when(u.rlike(_REPO), F.regexp_replace(u, _REPO, r"https://$1/$2"))
+    key = F.regexp_replace(u, _REPO, r"https://$1/$2")
+    return F.when(url.rlike(_PLAIN), url).otherwise(F.when(key.rlike(_KEY), key))
 
 
 def commit_key(commit: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fixloom.functions.identity import commit_key, repo_key
 
 
-def commit_entries(entries: DataFrame, *keep: str | object) -> DataFrame:
+def commit_entries(entries: DataFrame, *keep: str) -> DataFrame:
     """Rows of ``entries`` with ``commit_of``: the 40 hex digits of their commit, or ``project#digits``.
 
     A full id stands for itself in any project. A shortened one (7 to 39 digits) stands for each full id of an
@@ -27,9 +27,7 @@ def commit_entries(entries: DataFrame, *keep: str | object) -> DataFrame:
     )
     short = base.where(~full).withColumn("_p", repo_key(F.col("project_url"))).withColumn("_k", F.substring("_id", 1, 7))
     names = short.select("_p", "_k", "_id").distinct()
-    begins = names.join(known, ["_p", "_k"]).where(F.expr("startswith(_f, _id)")).select("_p", "_id", "_f")
-    resolved = short.join(begins, [short["_p"].eqNullSafe(begins["_p"]), short["_id"] == begins["_id"]], "left").select(
-        *(short[k] if isinstance(k, str) else k for k in keep),
-        F.coalesce(begins["_f"], F.concat_ws("#", F.coalesce(short["_p"], F.lit("")), short["_id"])).alias("commit_of"),
-    )
+    begins = names.join(known, ["_p", "_k"]).where(F.expr("startswith(_f, _id)")).select(F.col("_p").alias("_bp"), F.col("_id").alias("_bi"), "_f")
+    own = F.concat_ws("#", F.coalesce("_p", F.lit("")), "_id")
+    resolved = short.join(begins, (F.col("_p") == F.col("_bp")) & (F.col("_id") == F.col("_bi")), "left").select(*keep, F.coalesce("_f", own).alias("commit_of"))
     return base.where(full).select(*keep, F.col("_id").alias("commit_of")).unionByName(resolved)

@@ -84,5 +84,5 @@ def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: Column, how
         return rows.join(table, key, how)
     is_hot = F.col(key).isin(hot)
     left = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0).cast("long")))
-    right = table.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).cast("long"))
+    right = table.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
     return left.join(right, [key, "_salt"], how).drop("_salt")
