@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fixloom.llm import canonical, components, overlap, representative, splits
+from fixloom.llm import canonical, components, overlap, representative, spam, splits
 from fixloom.plans.tables import table
 
 QUERIES = {
@@ -15,5 +15,7 @@ QUERIES = {
     "p6_collapsed": lambda spark, d: canonical.collapsed(table(spark, d, "raw_records")),
     "p7_found": lambda spark, d: splits.found(table(spark, d, "entries")),
     "p7_split": lambda spark, d: splits.grouped_split(table(spark, d, "entries")),
+    "p10_found": lambda spark, d: spam.found(table(spark, d, "documents")),
+    "p10_reasons": lambda spark, d: spam.spam_pages(table(spark, d, "documents")),
 }
 SQL: dict[str, str] = {}
