@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fixloom.llm import canonical, components, leakage, overlap, representative, spam, splits
+from fixloom.llm import canonical, components, leakage, overlap, packing, representative, spam, splits
 from fixloom.plans.tables import table
 
 QUERIES = {
@@ -15,6 +15,8 @@ QUERIES = {
     "p6_collapsed": lambda spark, d: canonical.collapsed(table(spark, d, "raw_records")),
     "p7_found": lambda spark, d: splits.found(table(spark, d, "entries")),
     "p7_split": lambda spark, d: splits.grouped_split(table(spark, d, "entries")),
+    "p8_pack": lambda spark, d: packing.packed(table(spark, d, "documents"), table(spark, d, "pack_targets")),
+    "p8_fill": lambda spark, d: packing.fill_report(table(spark, d, "documents"), table(spark, d, "pack_targets")),
     "p9_found": lambda spark, d: leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")),
     "p9_report": lambda spark, d: leakage.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items")),
     "p10_found": lambda spark, d: spam.found(table(spark, d, "documents")),
