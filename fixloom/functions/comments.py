@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _QUOTED = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''
 _BLOCK = re.compile(rf'(?P<keep>{_QUOTED}|`(?:\\.|[^`\\])*`|R"\((?:.|\n)*?\)")|(?P<drop>//(?:\\\n|[^\n])*|/\*(?:.|\n)*?(?:\*/|\Z))')
@@ -38,10 +39,9 @@ def strip_comments(code: str | None, language: str | None) -> str | None:
     return "".join(out) + code[at:]
 
 
-@F.pandas_udf("string")
 def _strip(code: pd.Series, language: pd.Series) -> pd.Series:
-    return pd.Series([strip_comments(c, l) for c, l in zip(code, language)])
+    return pd.Series([strip_comments(c, name) for c, name in zip(code, language)])
 
 
 def without_comments(code: Column, language: Column) -> Column:
-    return _strip(code, language)
+    return F.pandas_udf(_strip, T.StringType())(code, language)

@@ -41,7 +41,7 @@ def commit_of_show(text: Column) -> Column:
     diff = F.when(at > 0, F.substring(text, at, F.length(text)))
     body = F.regexp_replace(F.regexp_replace(head, r"\r", ""), r"(?s)^.*?\n[ \t]*\n", "")
     message = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"(?m)^ {4}", ""), r"^\n+", ""), r"[\n\s]+$", "")
-    date = F.regexp_extract(head, r"(?m)^(?:Author)?Date:\s+(?:[A-Za-z]{3},?\s+)?(.+?)\s*$", 1)
+    date = F.regexp_extract(head, r"(?m)^(?:Author)?Date:\s+(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),?\s+)?(.+?)\s*$", 1)
     when = F.coalesce(F.try_to_timestamp(date, F.lit("MMM d HH:mm:ss yyyy Z")), F.try_to_timestamp(date))
     return commit_struct(F.nullif(message, F.lit("")), diff, files_of_diff(diff), when, F.lit(None).cast("timestamp"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fixloom.functions.let import let
 
-_HEX = "^[0-9a-fA-F]{5,40}$"
+_HEX = r"^[0-9a-fA-F]{5,40}\z"
 # Web paths of the generic hosts, looked for in this order (fixed values).
 _WEB = ["/commit/", "/commits/", "/tree/", "/blob/", "/src/", "/browse/"]
 # Web pages of the freedesktop cgit, looked for in this order (fixed values).
@@ -115,7 +115,7 @@ def _https(g: Column, r: Column) -> Column:
 
 def git_url(url: Column) -> Column:
     """``struct<scheme, host, path, owner, repo, commit_id, https>``; NULL for texts that are no git URL."""
-    raw = F.trim(url)
+    raw = F.regexp_replace(url, r"^\s+|\s+\z", "")
     decoded = F.when(F.contains(raw, F.lit("%")), F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)).otherwise(raw)
 
     def whole(g: Column) -> Column:

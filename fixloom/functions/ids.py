@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fixloom.functions.giturl import git_url
 from fixloom.functions.let import let
 
-CVE, CWE = r"^CVE-[0-9]{4}-[0-9]{4,}$", r"^CWE-[0-9]+$"
+CVE, CWE = r"^CVE-[0-9]{4}-[0-9]{4,}\z", r"^CWE-[0-9]+\z"
 # Irregular references and the commits they were resolved to: project, reference, commit (fixed values).
 PINNED = [
     ("https://github.com/curl/curl", "curl-7_51_0-162-g3ab3c16", "3ab3c16db6a5674f53cf23d5654366663f734493"),
@@ -19,20 +19,25 @@ PINNED = [
 ]
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+
+
 def commit_id(text: Column) -> Column:
     """A commit id out of an id or a commit URL: 5 to 40 hex digits in lower case, or what the URL names; else NULL.
 
     Fragment, then query, then one ``.patch`` or ``.diff``, then trailing ``.,;`` are cut off.
     """
-    core = F.trim(F.split_part(F.split_part(F.trim(text), F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1)))
+    core = strip(F.split_part(F.split_part(text, F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1)))
     core = F.regexp_replace(F.regexp_replace(core, r"\.(?:patch|diff)$", ""), r"[.,;]+$", "")
-    return let(core, lambda c: F.when(c == "", F.lit(None)).when(c.rlike("^[0-9a-fA-F]{5,40}$"), F.lower(c)).otherwise(git_url(c)["commit_id"]))
+    return let(core, lambda c: F.when(c == "", F.lit(None)).when(c.rlike("^[0-9a-fA-F]{5,40}\\z"), F.lower(c)).otherwise(git_url(c)["commit_id"]))
 
 
 def pinned(project: Column, ref: Column) -> Column:
     """The commit that an irregular reference of a project is pinned to."""
     table = F.create_map(*(F.lit(x) for url, r, sha in PINNED for x in (f"{url} {r}", sha)))
-    return table[F.concat(project, F.lit(" "), F.trim(ref))]
+    return table[F.concat(project, F.lit(" "), strip(ref))]
 
 
 def pinned_in(text: Column) -> Column:
@@ -55,13 +60,13 @@ def url_and_commit(url: Column, commit: Column | None = None) -> Column:
 
 def cve_set(values: Column) -> Column:
     """Vulnerability ids of an array in upper case, sorted and distinct; anything malformed is left out."""
-    clean = F.filter(F.transform(values, lambda v: F.upper(F.trim(v))), lambda v: v.rlike(CVE))
+    clean = F.filter(F.transform(values, lambda v: F.upper(strip(v))), lambda v: v.rlike(CVE))
     return F.coalesce(F.array_sort(F.array_distinct(clean)), F.array().cast("array<string>"))
 
 
 def cwe_set(values: Column) -> Column:
     """Weakness ids of an array as ``CWE-n`` without leading zeros, sorted and distinct; anything else is left out."""
-    digits = F.transform(values, lambda v: F.regexp_extract(F.trim(v), r"^(?i:CWE-)?([0-9]{1,4})$", 1))
+    digits = F.transform(values, lambda v: F.regexp_extract(strip(v), r"^(?i:CWE-)?([0-9]{1,4})\z", 1))
     clean = F.transform(F.filter(digits, lambda d: d != ""), lambda d: F.concat(F.lit("CWE-"), d.cast("int").cast("string")))
     return F.coalesce(F.array_sort(F.array_distinct(clean)), F.array().cast("array<string>"))
 

@@ -32,7 +32,7 @@ def reject_reason(commit: Column, url: Column, sources: Column) -> Column:
     """Why a row is no entry, or NULL: the checks in their fixed order."""
     return (
         F.when(F.coalesce(F.trim(commit), F.lit("")) == "", "blank commit id")
-        .when(~F.coalesce(commit_id(commit).rlike("^[0-9a-f]{5,40}$"), F.lit(False)), "bad commit id")
+        .when(~F.coalesce(commit_id(commit).rlike(r"^[0-9a-f]{5,40}\z"), F.lit(False)), "bad commit id")
         .when(https_url(url).isNull(), "bad project url")
         .when(F.coalesce(F.size(sources), F.lit(0)) < 1, "no source")
     )
