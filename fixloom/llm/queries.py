@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from fixloom.llm import canonical, components, leakage, overlap, packing, representative, spam, splits
+from fixloom.llm.sql import SQL
 from fixloom.plans.tables import table
 
+__all__ = ["QUERIES", "SQL"]
+
 QUERIES = {
     "p1_found": lambda spark, d: overlap.found(table(spark, d, "entries")),
     "p1_report": lambda spark, d: overlap.overlap_report(table(spark, d, "entries")),
@@ -22,4 +25,3 @@ QUERIES = {
     "p10_found": lambda spark, d: spam.found(table(spark, d, "documents")),
     "p10_reasons": lambda spark, d: spam.spam_pages(table(spark, d, "documents")),
 }
-SQL: dict[str, str] = {}
