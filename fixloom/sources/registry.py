@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fixloom.functions import ids
 from fixloom.functions.commit_text import commit_of_diff, commit_of_show, commit_struct, comparable_diff, merge_commits
@@ -44,6 +46,7 @@ def _both(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _bigvul(raw):
+    # One report links a branch; its commit is a fixed value.
     envoy = F.when(C("ref_link").contains("envoyproxy/envoy") & C("cve_id").contains("CVE-2019-15226"), F.struct(F.lit(GITHUB + "envoyproxy/envoy").alias("project_url"), F.lit("afc39bea36fd436e54262f150c009e8d72db5014").alias("commit_id")))
     fixed = F.coalesce(envoy, ids.pinned_in(C("ref_link")), ids.url_and_commit(C("ref_link"), C("commit_id")))
     return entries_of(raw, "bigvul", fixed, cves=array_of(C("cve_id")), cwes=array_of(C("cwe_id")))
@@ -170,10 +173,13 @@ def _cwe_bench(info, fixes):
     return entries_of(df, "cwe_bench_java", ids.url_and_commit(_repo(C("github_username"), C("github_repository_name")), C("commit")), cves=array_of(C("cve_id")), cwes=array_of(C("cwe_id")), name=F.coalesce("signature", "method"), file=C("file"), ghsa=F.when(C("advisory_id").startswith("GHSA-"), C("advisory_id")))
 
 
+def _digits_to_hex(numbers: pd.Series) -> pd.Series:
+    return numbers.map(lambda n: format(int(n), "x") if isinstance(n, str) and n.strip().isdigit() else None)
+
+
 def _hex(number: Column) -> Column:
-    """Digits of any length in base 16, by way of two 64-bit halves where they fit, else as they are."""
-    small = F.lower(F.hex(number.try_cast("bigint")))
-    return F.coalesce(small, number)
+    """Whole numbers of any length in base 16; they exceed 64 bits, so no built-in serves."""
+    return F.pandas_udf(_digits_to_hex, T.StringType())(number)
 
 
 def _diversevul(raw, projects):
