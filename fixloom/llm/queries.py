@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fixloom.llm import canonical, components, leakage, overlap, packing, representative, spam, splits
+from fixloom.llm import canonical, components, consensus, leakage, overlap, packing, representative, spam, splits
 from fixloom.llm.sql import SQL
 from fixloom.plans.tables import table
 
@@ -14,6 +14,7 @@ QUERIES = {
     "p3_found": lambda spark, d: components.group_members(table(spark, d, "relationship_edges"), "url1", "url2").toDF("group_url", "url"),
     "p3_sizes": lambda spark, d: components.group_report(table(spark, d, "relationship_edges"), "url1", "url2").toDF("group_url", "n_members"),
     "p5_found": lambda spark, d: representative.found(table(spark, d, "entries"), table(spark, d, "src_catalog")),
+    "p5_consensus": lambda spark, d: consensus.consensus_messages(table(spark, d, "entries"), table(spark, d, "src_catalog")),
     "p6_found": lambda spark, d: canonical.copies(table(spark, d, "raw_records")),
     "p6_collapsed": lambda spark, d: canonical.collapsed(table(spark, d, "raw_records")),
     "p7_found": lambda spark, d: splits.found(table(spark, d, "entries")),
