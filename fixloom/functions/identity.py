@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 _PAGES = "tree|blob|commit|commits|raw|src|browse|log|diff|compare|releases|tags|issues|pull|pulls|merge_requests|wiki|archive"
 
 _REPO = (
-    r"^(?:[a-z][a-z0-9+.-]*:/+)?(?:[^@/?#]*@)?(?:www\.)?([^:/?#@\s]+)(?::\d+(?=/))?[:/]+"
+    r"^(?:[a-z][a-z0-9+.-]*:/+)?(?:[^@/?#]*@)?(?:www\.)?([^:/?#@\s]+\.[^:/?#@\s]+)(?::\d+(?=/))?[:/]+"
     rf"([^/?#\s]+/[^/?#\s]+?(?:/[^/?#\s]+?)*?|[^/?#\s]+?)(?:\.git)?/*"
     rf"(?:/-(?:/[^?#]*)?|/(?:{_PAGES})(?:/[^?#]*)?)?(?:\?[^#]*)?(?:#.*)?$"
 )
@@ -24,8 +24,9 @@ def repo_key(url: Column) -> Column:
     """``https://host/path`` in lower case: host without ``www.``, user, port; bare repository path.
 
     Scheme, scp form, escapes, ``.git``, trailing slashes, query, fragment and the pages of a web view are ignored.
-    NULL for NULL, blank text and text that names no host and path.
+    NULL for NULL, blank text, text that names no host and path, and text of more than 2,048 characters.
     """
+    url = F.when(F.length(url) <= 2048, url)
     u = F.lower(F.regexp_replace(url, _EDGE, ""))
     u = F.when(u.contains("%"), F.lower(F.coalesce(F.try_url_decode(F.replace(u, F.lit("+"), F.lit("%2B"))), u))).otherwise(u)
     key = F.regexp_replace(u, _REPO, r"https://$1/$2")

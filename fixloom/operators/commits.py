@@ -18,6 +18,7 @@ def commit_entries(entries: DataFrame, *keep: str) -> DataFrame:
     Only the shortened ids and the distinct (project, full id) pairs meet in a join, on project and first seven
     digits, so a project with a third of the rows is spread over its commits.
     """
+    entries = entries.select(*dict.fromkeys([*keep, "project_url", "commit_id"]))
     base = entries.withColumn("_id", commit_key(F.col("commit_id"))).where(F.col("_id").isNotNull())
     full = F.length("_id") == 40
     known = (

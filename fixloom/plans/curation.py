@@ -245,7 +245,7 @@ _TEMPLATE = ", ".join(f"'{t}'" for t in paths.TEMPLATES)
 _HEADER = r"""'(?m)^diff --git ("?a/.*?"?) ("?b/.*?"?)\r?$'"""
 KEY = r"""CASE WHEN regexp_matches({u}, '{r}') THEN regexp_replace({u}, '{r}', 'https://\1/\2') END""".replace(
     "{r}",
-    r"^(?:[a-z][a-z0-9+.-]*:/+)?(?:[^@/?#]*@)?(?:www\.)?([^:/?#@\s]+)(?::\d+)?[:/]+([^/?#\s]+/[^/?#\s]+?(?:/[^/?#\s]+?)*?|[^/?#\s]+?)(?:\.git)?/*"
+    r"^(?:[a-z][a-z0-9+.-]*:/+)?(?:[^@/?#]*@)?(?:www\.)?([^:/?#@\s]+\.[^:/?#@\s]+)(?::\d+)?[:/]+([^/?#\s]+/[^/?#\s]+?(?:/[^/?#\s]+?)*?|[^/?#\s]+?)(?:\.git)?/*"
     r"(?:/-(?:/[^?#]*)?|/(?:tree|blob|commit|commits|raw|src|browse|log|diff|compare|releases|tags|issues|pull|pulls|merge_requests|wiki|archive)(?:/[^?#]*)?)?(?:\?[^#]*)?(?:#.*)?$",
 )
 URL_KEY = KEY.replace("{u}", "lower(url_decode(replace(regexp_replace(project_url, '^\\s+|\\s+$', '', 'g'), '+', '%2B')))")
