@@ -17,9 +17,9 @@ SEGMENT_BITS = 1 << 20
 
 _SPACE = r"[\s  -​ 　﻿]+"
 _SLASHES = r"/{2,}"
-_EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+_EDGES = r"^[^\p{L}\p{N}]+|(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$"
 # A field: its name, a sign that binds, and a quoted value or one that runs up to the next separator.
-_FIELD = r"""["']?([\p{L}_][\p{L}\p{N}_.-]*)["']?\s*(?:=>|[:=])\s*("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^,;|}\n]*)"""
+_FIELD = r"""["']?([\p{L}_][\p{L}\p{N}_.-]*+)["']?\s*+(?:=>|[:=])\s*+("[^"]*+"|'[^']*+'|[^,;|}\n]*+)"""
 
 
 def canonical_value(value: Column) -> Column:
@@ -29,6 +29,8 @@ def canonical_value(value: Column) -> Column:
 
 def canonical_fields(text: Column) -> Column:
     """The fields of a record written as JSON, ``k=v;``, ``k: v |``, lines or ``'k' => 'v'``: sorted ``name=value``."""
+    # Escaped quotes get a sign of their own first, so that a quoted value is one run of characters, however long.
+    text = F.replace(F.replace(text, F.lit('\\"'), F.lit("\ue000")), F.lit("\\'"), F.lit("\ue001"))
     names, values = (F.regexp_extract_all(text, F.lit(_FIELD), F.lit(i)) for i in (1, 2))
     pairs = F.zip_with(names, values, lambda n, v: F.concat(canonical_value(n), F.lit("="), canonical_value(v)))
     return F.array_join(F.array_sort(pairs), "\n")

@@ -208,10 +208,11 @@ def leaked_items(documents: DataFrame, items: DataFrame, block: int = 2_000) ->
     substitutions), hashed on sampled symbols in several tables, and every agreeing pair is verified by alignment
     and, where that comes near, by exact edit distance. Documents are read once per block, in place, without a
     shuffle; whole texts, so the longest text bounds a task. Copies of documents each come out; repeated rows of a
-    document come out once. NULL and empty texts, and items under 30 words, give nothing.
+    document come out once. NULL and empty texts, rows without ``doc_id``,
+    and items under 30 words give nothing.
     """
     rows = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").orderBy("item_id", "text")
-    texts = documents.where(F.col("text").isNotNull() & (F.length("text") >= 2 * PASSAGE)).select("doc_id", "text")
+    texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("text") >= 2 * PASSAGE)).select("doc_id", "text")
     schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}"
     out, taken = None, []
     for r in rows.toLocalIterator():

@@ -36,7 +36,7 @@ _TOKEN = re.compile(r"[^\s,;:|>»<()\[\]{}!?\"“”*]+")
 # Lines that machines write: stack frames, patches, digests, logs, lists of versions.
 _MACHINE = re.compile(
     r"\s*(?:#\d+\s+0x|at\s+[\w.$]+\(|diff --git|index [0-9a-f]+\.\.|--- |\+\+\+ |@@ |[-+] {2,}|[0-9a-fA-F]{32,}\b|\d{4}-\d\d-\d\d[T ]\d\d:|\[?\d\d:\d\d:\d\d|"
-    r"[A-Za-z ]{0,20}:?\s*(?:v?\d+(?:\.\d+)+[,;\s]*){2,}$| {4,}\S.*[;{})]\s*$)"
+    r"[A-Za-z ]{0,20}:?\s*(?:v?\d+(?:\.\d+)+[,;\s]+)+v?\d+(?:\.\d+)+[,;\s]*$| {4,}\S.*[;{})]\s*$)"
 )
 _CLOSE = re.compile(r"[^\W_][.!?][\"')\]]*(?=\s|$)")
 
