@@ -28,12 +28,12 @@ def as_set(values: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.coalesce(values, F.array()))))
 
 
-def reject_reason(commit: Column, url: Column, sources: Column) -> Column:
-    """Why a row is no entry, or NULL: the checks in their fixed order."""
+def reject_reason(raw_commit: Column, commit: Column, url: Column, sources: Column) -> Column:
+    """Why a row is no entry, or NULL: the checks in their fixed order, on the normalised commit id and URL."""
     return (
-        F.when(F.coalesce(F.trim(commit), F.lit("")) == "", "blank commit id")
-        .when(~F.coalesce(commit_id(commit).rlike(r"^[0-9a-f]{5,40}\z"), F.lit(False)), "bad commit id")
-        .when(https_url(url).isNull(), "bad project url")
+        F.when(F.coalesce(F.trim(raw_commit), F.lit("")) == "", "blank commit id")
+        .when(~F.coalesce(commit.rlike(r"^[0-9a-f]{5,40}\z"), F.lit(False)), "bad commit id")
+        .when(url.isNull(), "bad project url")
         .when(F.coalesce(F.size(sources), F.lit(0)) < 1, "no source")
     )
 
@@ -44,14 +44,15 @@ def conform(df: DataFrame, on_invalid: str = "drop") -> DataFrame:
     Categories are derived from the weakness ids only where none are given. ``on_invalid``: ``drop`` leaves rows
     out that fail a check, ``fail`` makes the job fail. Extra columns are kept.
     """
-    checked = df.withColumn("_why", reject_reason(F.col("commit_id"), F.col("project_url"), F.col("src_datasets")))
+    named = df.withColumns({"_url": https_url(F.col("project_url")), "_commit": commit_id(F.col("commit_id"))})
+    checked = named.withColumn("_why", reject_reason(F.col("commit_id"), F.col("_commit"), F.col("_url"), F.col("src_datasets")))
     if on_invalid == "fail":
         checked = checked.where(F.when(F.col("_why").isNotNull(), F.raise_error(F.col("_why")).cast("boolean")).otherwise(F.lit(True)))
     else:
         checked = checked.where(F.col("_why").isNull())
-    out = checked.drop("_why").withColumns({
-        "project_url": https_url(F.col("project_url")), "commit_id": commit_id(F.col("commit_id")), "src_datasets": as_set(F.col("src_datasets")),
+    out = checked.withColumns({
+        "project_url": F.col("_url"), "commit_id": F.col("_commit"), "src_datasets": as_set(F.col("src_datasets")),
         "is_vfc": F.coalesce("is_vfc", F.lit(True)), "cve_ids": as_set(valid_cves(F.col("cve_ids"))), "cwe_ids": as_set(valid_cwes(F.col("cwe_ids"))),
-    })
+    }).drop("_why", "_url", "_commit")
     derived = F.when(F.col("owasp_categories").isNull() & (F.size("cwe_ids") > 0), owasp_of(F.col("cwe_ids")))
     return out.withColumn("owasp_categories", F.coalesce(F.array_sort(F.array_distinct("owasp_categories")), derived))
