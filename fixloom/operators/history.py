@@ -26,17 +26,18 @@ def shared_commits(sample: DataFrame) -> DataFrame:
 def pair_overlaps(history: DataFrame, sample: DataFrame, least: float = 0.1) -> DataFrame:
     """``url1, url2, n_shared, overlap`` of repositories that share a sampled commit and enough of their histories.
 
-    The overlap is the share of the smaller history. Pairs come from a join on sampled commits with ``url1 < url2``;
-    full histories are counted only for these pairs.
+    The overlap is the share of the smaller history. All histories are joined on the commit with ``url1 < url2``, marked
+    where both sides have it in the sample, and a pair's shared and marked commits are counted in one sum. So the rows
+    joined grow with the commits that repositories really share, not with pairs times whole histories.
     """
-    s = sample.select("url", "commit_id").distinct()
-    pairs = s.toDF("url1", "commit_id").join(s.toDF("url2", "commit_id"), "commit_id").where("url1 < url2").select("url1", "url2").distinct()
     full = history.select("url", "commit_id").distinct()
+    marked = full.select("url", "commit_id", F.lit(1).alias("h"), F.lit(0).alias("s")).unionByName(sample.select("url", "commit_id", F.lit(0).alias("h"), F.lit(1).alias("s")))
+    rows = marked.groupBy("url", "commit_id").agg(F.max("h").alias("h"), F.max("s").alias("s"))
+    both = rows.toDF("url1", "commit_id", "h1", "s1").join(rows.toDF("url2", "commit_id", "h2", "s2"), "commit_id").where("url1 < url2")
+    shared = both.groupBy("url1", "url2").agg(F.sum(F.col("h1") * F.col("h2")).alias("n_shared"), F.max(F.col("s1") * F.col("s2")).alias("_both")).where("_both = 1 AND n_shared > 0")
     sizes = full.groupBy("url").agg(F.count(F.lit(1)).alias("n"))
-    one = pairs.join(full.toDF("url1", "commit_id"), "url1").join(full.toDF("url2", "commit_id"), ["url2", "commit_id"])
-    shared = one.groupBy("url1", "url2").agg(F.count(F.lit(1)).alias("n_shared"))
-    both = shared.join(sizes.toDF("url1", "n1"), "url1").join(sizes.toDF("url2", "n2"), "url2")
-    return both.withColumn("overlap", F.col("n_shared") / F.least("n1", "n2")).where(F.col("overlap") >= least).select("url1", "url2", "n_shared", "overlap")
+    sized = shared.join(sizes.toDF("url1", "n1"), "url1").join(sizes.toDF("url2", "n2"), "url2")
+    return sized.withColumn("overlap", F.col("n_shared") / F.least("n1", "n2")).where(F.col("overlap") >= least).select("url1", "url2", "n_shared", "overlap")
 
 
 def fork_edges(forks: DataFrame) -> DataFrame:

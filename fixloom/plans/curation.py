@@ -42,7 +42,7 @@ def related(spark, d) -> DataFrame:
 
 def histories(spark, d) -> DataFrame:
     """Suppliers as repositories and parts as commits, newest shipment first."""
-    rows = table(spark, d, "lineitem").where((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 5 == 0).groupBy("l_suppkey", "l_partkey").agg(F.max("l_shipdate").alias("at"))
+    rows = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.max("l_shipdate").alias("at"))
     pos = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(F.desc("at"), "l_partkey")) - 1
     return rows.select(F.concat(F.lit("https://github.com/s/r"), F.col("l_suppkey").cast("string")).alias("url"), F.md5(F.col("l_partkey").cast("string")).alias("commit_id"), pos.alias("pos"))
 
@@ -137,7 +137,7 @@ def q_suspicious(spark, d):
 def q_extend_ids(spark, d):
     e = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("https://github.com/o/r"), (F.col("o_custkey") % 97).cast("string")).alias("project_url"), F.sha1(F.col("o_orderkey").cast("string")).alias("full_id"))
     short = e.select("k", "project_url", F.expr("substring(full_id, 1, CAST(5 + k % 8 AS INT))").alias("commit_id"))
-    return enrich.extend_ids(short, e.where("k % 3 > 0"))
+    return enrich.extend_ids(short, e)
 
 
 def q_attach(spark, d):
@@ -169,7 +169,7 @@ def q_union(spark, d):
 
 
 def q_history_sample(spark, d):
-    return history.history_sample(histories(spark, d), 5, 5, 2)
+    return history.history_sample(histories(spark, d))
 
 
 def q_shared(spark, d):
