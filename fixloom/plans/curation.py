@@ -83,8 +83,7 @@ def q_norm_ids(spark, d):
 
 
 def q_norm_commit(spark, d):
-    plain = entries(spark, d).where("NOT contains(commit_id, '/')")
-    return plain.select("entry_id", ids.commit_id(F.col("commit_id")).alias("commit_id"))
+    return entries(spark, d).select("entry_id", ids.commit_id(F.col("commit_id")).alias("commit_id"))
 
 
 def q_url_normalise(spark, d):

@@ -55,3 +55,14 @@ def test_every_full_id_is_known(spark, tmp_path):
         hits = {f for r, f in full.values() if r == repo and f.startswith(sha[: 5 + k % 8])}
         want[k] = hits.pop() if len(hits) == 1 else sha[: 5 + k % 8]
     assert {r.k: r.commit_id for r in curation.QUERIES["extend_commit_ids"](spark, d).collect()} == want
+
+
+def test_commit_urls_are_normalised(spark, tmp_path):
+    sha = "71983e4e6116e296ae6cc755f716055d3bba6c3d"
+    given = {
+        f"https://github.com/a/b/commit/{sha}": sha, f" https://github.com/a/b/commit/{sha[:9].upper()}.patch?w=1#diff ": sha[:9], f"https://forgehub.example/a/b/commit/{sha}.diff,": None,
+        f"https://gitlab.com/a/b/-/commit/{sha}": sha, f"https://bitbucket.org/a/b/commits/{sha[:12]}": sha[:12], f"https://forgehub.example/a/b/commit/{sha}": sha,
+        "https://forgehub.example/a/b": None, f"x/{sha}": None, sha.upper() + ".patch": sha, "abcd": None,
+    }
+    d = save(spark, tmp_path, "entries", list(enumerate(given)), "entry_id long, commit_id string")
+    assert [r.commit_id for r in curation.QUERIES["norm_commit"](spark, d).orderBy("entry_id").collect()] == list(given.values())
