@@ -185,7 +185,7 @@ def q_strip(spark, d):
 
 
 def q_complete(spark, d):
-    b = filters.bound_diffs(entries(spark, d), 400)
+    b = filters.bound_diffs(entries(spark, d))
     return b.select("entry_id", commit_text.is_complete(F.col("commit")).alias("complete"), F.length("commit.diff").cast("long").alias("n_diff"))
 
 

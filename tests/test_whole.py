@@ -5,8 +5,6 @@ from collections import defaultdict
 from datetime import date, datetime
 from itertools import combinations
 
-from pyspark.sql import functions as F
-
 from fixloom.plans import curation
 
 COMMIT = "struct<message:string,diff:string,files_changed:array<string>,authored_at:timestamp,committed_at:timestamp>"
@@ -66,3 +64,12 @@ def test_commit_urls_are_normalised(spark, tmp_path):
     }
     d = save(spark, tmp_path, "entries", list(enumerate(given)), "entry_id long, commit_id string")
     assert [r.commit_id for r in curation.QUERIES["norm_commit"](spark, d).orderBy("entry_id").collect()] == list(given.values())
+
+
+def test_whole_diffs_count_as_complete(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    sizes = {0: 400, 1: 401, 2: 100_000, 3: 100_001, 4: None}
+    rows = [(i, ("m", None if n is None else "x" * n, ["f.c"], at, at)) for i, n in sizes.items()]
+    d = save(spark, tmp_path, "entries", rows, f"entry_id long, commit {COMMIT}")
+    got = {r.entry_id: (r.complete, r.n_diff) for r in curation.QUERIES["commit_complete"](spark, d).collect()}
+    assert got == {0: (True, 400), 1: (True, 401), 2: (True, 100_000), 3: (False, None), 4: (False, None)}
