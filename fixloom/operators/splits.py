@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,47 +73,54 @@ def shuffled_split(entries: DataFrame, seed: int, ratios: tuple[float, float, fl
     return entries.sparkSession.createDataFrame(rows, "_ord long, split string")
 
 
-def binary_groups(sizes: list[tuple[str, int]], ratio: float, seed: int) -> set[str]:
-    """The groups of the first part: four strata by size interleaved, greedy, then improving moves and swaps."""
-    rng = random.Random(seed)
-    ordered = sorted(sizes, key=lambda g: (-g[1], g[0]))
-    strata = [ordered[i::4] for i in range(4)]
-    for s in strata:
-        rng.shuffle(s)
-    mixed = [s[i] for i in range(max(map(len, strata), default=0)) for s in strata if i < len(s)]
-    target, total, chosen = ratio * sum(n for _, n in sizes), 0, set()
-    for name, n in mixed:
-        if abs(total + n - target) <= abs(total - target):
-            chosen.add(name)
-            total += n
-    weight = dict(sizes)
-    for _ in range(len(sizes)):
+def binary_counts(groups: dict[int, int], ratio: float, seed: int) -> dict[int, int]:
+    """How many groups of each size (``size: groups``) make the first part.
+
+    Each size gives its share, rounded at random and carried on from the largest to the smallest; then moves and swaps
+    of any two sizes as long as one brings the rows closer to ``ratio``.
+    """
+    rng, taken = random.Random(seed), {}
+    target, total, seen = ratio * sum(n * k for n, k in groups.items()), 0, 0
+    for n in sorted(groups, reverse=True):
+        seen += n * groups[n]
+        share = min((ratio * seen - total) / n + rng.random(), (target - total) / n + 0.5) if n > 0 else ratio * groups[n]
+        taken[n] = min(max(int(share), 0), groups[n])
+        total += n * taken[n]
+    while True:
         gap = target - total
-        moves = [(abs(gap - (n if g not in chosen else -n)), g) for g, n in weight.items()]
-        best = min(moves, default=(abs(gap), ""))
-        if best[0] >= abs(gap):
-            inside, outside = sorted((weight[g], g) for g in chosen), sorted((n, g) for g, n in weight.items() if g not in chosen)
-            swaps = [(abs(gap - (b[0] - a[0])), a[1], b[1]) for a in inside[:200] for b in outside[:200]]
-            swap = min(swaps, default=(abs(gap), "", ""))
-            if swap[0] >= abs(gap):
-                break
-            chosen ^= {swap[1], swap[2]}
-            total += weight[swap[2]] - weight[swap[1]]
-        else:
-            total += weight[best[1]] if best[1] not in chosen else -weight[best[1]]
-            chosen ^= {best[1]}
-    return chosen
-
-
-def group_stratified_split(sizes: DataFrame, seed: int, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), most: int = 100_000) -> DataFrame:
-    """``group_key, split`` for groups (``group_key, n``, at most ``most`` of them): test first, then train and validation."""
+        inside, outside = sorted(n for n in groups if taken[n] > 0), sorted(n for n in groups if taken[n] < groups[n])
+        steps = [(abs(gap + a), a, 0) for a in inside] + [(abs(gap - b), 0, b) for b in outside]
+        for a in inside:
+            i = bisect_left(outside, a + gap)
+            steps += [(abs(gap - (b - a)), a, b) for b in outside[max(i - 1, 0) : i + 1]]
+        best, a, b = min(steps, default=(abs(gap), 0, 0))
+        if best >= abs(gap) - 1e-9:
+            return taken
+        total += b - a
+        if a:
+            taken[a] -= 1
+        if b:
+            taken[b] += 1
+
+
+def group_stratified_split(sizes: DataFrame, seed: int, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> DataFrame:
+    """``group_key, split`` for any number of groups (``group_key, n``): test first, then train and validation.
+
+    Groups of one size are alike, so the driver sees only how many groups each size has and decides how many of them
+    go where; that is at most the root of twice the number of rows. Which ones is said by a hash of seed and key: groups
+    are ranked by size and hash without sorting in one task, and take their split by their place within the size.
+    """
     check_ratios(ratios)
-    rows = [(r[0], r[1]) for r in sizes.select("group_key", "n").orderBy(F.desc("n"), "group_key").limit(most + 1).collect()]
-    if len(rows) > most:
-        raise ValueError("too many groups to search on the driver")
+    base = written(sizes.select("group_key", "n"), "groups")
+    groups = {r["n"]: r["k"] for r in base.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
     rng = random.Random(seed)
-    rest = binary_groups(rows, ratios[0] + ratios[1], rng.randrange(2**31))
-    inner = [g for g in rows if g[0] in rest]
-    train = binary_groups(inner, ratios[0] / max(ratios[0] + ratios[1], 1e-9), rng.randrange(2**31))
-    labels = [(g, "test" if g not in rest else "train" if g in train else "validation") for g, _ in rows]
-    return sizes.sparkSession.createDataFrame(labels, "group_key string, split string")
+    rest = binary_counts(groups, ratios[0] + ratios[1], rng.randrange(2**31))
+    train = binary_counts(rest, ratios[0] / max(ratios[0] + ratios[1], 1e-9), rng.randrange(2**31))
+    ends, start = [], 0
+    for n in sorted(groups, reverse=True):
+        ends.append((n, start + train[n], start + rest[n]))
+        start += groups[n]
+    table = sizes.sparkSession.createDataFrame(ends, "n long, _train long, _rest long")
+    placed = ranked(base.withColumn("_h", F.xxhash64(F.lit(seed), "group_key")), [F.desc("n"), F.col("_h"), F.col("group_key")])
+    split = F.when(F.col("_rank") < F.col("_train"), "train").when(F.col("_rank") < F.col("_rest"), "validation").otherwise("test")
+    return placed.join(table, "n").select("group_key", split.alias("split"))

@@ -1,10 +1,14 @@
 """The registered queries do the whole job: brute force on small tables, where SQL is of no help."""
 
 import hashlib
+import random
 from collections import defaultdict
 from datetime import date, datetime
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
+from fixloom.operators import splits
 from fixloom.plans import curation
 
 COMMIT = "struct<message:string,diff:string,files_changed:array<string>,authored_at:timestamp,committed_at:timestamp>"
@@ -73,3 +77,26 @@ def test_whole_diffs_count_as_complete(spark, tmp_path):
     d = save(spark, tmp_path, "entries", rows, f"entry_id long, commit {COMMIT}")
     got = {r.entry_id: (r.complete, r.n_diff) for r in curation.QUERIES["commit_complete"](spark, d).collect()}
     assert got == {0: (True, 400), 1: (True, 401), 2: (True, 100_000), 3: (False, None), 4: (False, None)}
+
+
+def test_any_number_of_groups_is_placed(spark):
+    size = F.when(F.col("id") % 1000 == 0, F.col("id") / 100 + 1).otherwise(F.col("id") % 7 + 1).cast("long")
+    sizes = spark.range(120_000).select(F.concat(F.lit("g"), F.col("id")).alias("group_key"), size.alias("n"))
+    got = splits.group_stratified_split(sizes, 3).join(sizes, "group_key").groupBy("split").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.countDistinct("group_key").alias("d"))
+    rows = {r.split: r for r in got.collect()}
+    total = sum(r.n for r in rows.values())
+    assert sum(r.k for r in rows.values()) == sum(r.d for r in rows.values()) == 120_000
+    assert all(abs(rows[s].n - share * total) <= 1 for s, share in (("train", 0.8), ("validation", 0.1), ("test", 0.1)))
+    one, two = (sorted(map(tuple, splits.group_stratified_split(sizes.where("group_key < 'g11'"), 3).collect())) for _ in range(2))
+    assert one == two
+
+
+def test_no_move_or_swap_is_missed():
+    for seed in range(20):
+        rng = random.Random(seed)
+        groups = {rng.randrange(10_000, 90_000) * 10: rng.randrange(1, 3) for _ in range(500)}
+        taken = splits.binary_counts(groups, 0.37, seed)
+        assert all(0 <= taken[n] <= k for n, k in groups.items())
+        gap = 0.37 * sum(n * k for n, k in groups.items()) - sum(n * k for n, k in taken.items())
+        inside, outside = [0, *(n for n in groups if taken[n])], [0, *(n for n in groups if taken[n] < groups[n])]
+        assert min(abs(gap - b + a) for a in inside for b in outside) >= abs(gap) - 1e-6
