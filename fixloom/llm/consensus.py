@@ -12,12 +12,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fixloom.llm.representative import trust_of, usable
+from fixloom.llm.representative import CVE, FIELDS, trust_of, usable, usable_text
 from fixloom.operators.commits import commit_entries
 from fixloom.runtime import written
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 GAP = ""
+# Between the members of a set; texts are cut into words and marks instead.
+SEP, TEXTS = "\u0001", ("message", "diff")
 
 
 def agreed(values: list[list[str]], weights: list[float]) -> list[str]:
@@ -39,9 +41,9 @@ def agreed(values: list[list[str]], weights: list[float]) -> list[str]:
     return [t for t in winners if t != GAP]
 
 
-def closest(texts: list[str], weights: list[float]) -> int:
+def closest(texts: list[str], weights: list[float], words: bool = True) -> int:
     """Index of the value most like the consensus; the heavier, then the earlier one at a tie."""
-    values = [_TOKEN.findall(t.lower()) for t in texts]
+    values = [_TOKEN.findall(t.lower()) if words else t.split(SEP) for t in texts]
     target = agreed(values, weights)
     like = [SequenceMatcher(None, target, v, autojunk=False).ratio() for v in values]
     return max(range(len(texts)), key=lambda i: (like[i], weights[i], -i))
@@ -49,47 +51,95 @@ def closest(texts: list[str], weights: list[float]) -> int:
 
 def _vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by chunk -> one row a chunk, with the whole weight of it."""
+    names = ["g", "field", "text", "weight", "entry_id"]
     rows = (r for b in batches for r in b.itertuples(index=False, name=None))
     out = []
-    for _, chunk in groupby(rows, key=lambda r: (r[0], r[1])):
-        members = list(chunk)
-        best = members[closest([m[2] for m in members], [m[3] for m in members])] if len(members) > 1 else members[0]
-        out.append((best[0], best[2], sum(m[3] for m in members), best[4]))
+    for (g, field, _), chunk in groupby(rows, key=lambda r: r[:3]):
+        seen: dict[str, tuple] = {}
+        for m in chunk:
+            seen.setdefault(m[3], m)  # a repeated row has brought its text twice
+        members = list(seen.values())
+        best = members[closest([m[3] for m in members], [m[4] for m in members], field in TEXTS)] if len(members) > 1 else members[0]
+        out.append((g, field, best[3], sum(m[4] for m in members), best[5]))
         if len(out) >= 1000:
-            yield pd.DataFrame(out, columns=["g", "text", "weight", "entry_id"])
+            yield pd.DataFrame(out, columns=names)
             out = []
-    yield pd.DataFrame(out, columns=["g", "text", "weight", "entry_id"])
-
-
-def consensus_values(entries: DataFrame, catalogue: DataFrame, value: Column, is_usable: Column, chunk: int = 32) -> DataFrame:
-    """``first_id, entry_id``: for each group of entries of one commit and function the one whose text agrees best.
-
-    A text votes with the sum of 1/trust of its entries; equal texts are counted together first, map-side, so a
-    group with a third of all rows shrinks to its distinct texts. Groups with more distinct texts than ``chunk`` vote
-    in rounds: chunks of that size by hash, each sending its winner on with the whole weight of the chunk, until one
-    is left. So no task ever holds more than one chunk of a group. Groups with one usable text need no vote; groups
-    without any, and entries without commit id, give no row. Ties go to the heavier, then the smaller entry.
+    yield pd.DataFrame(out, columns=names)
+
+
+def field_texts() -> dict[str, Column]:
+    """For each field of a record its usable value as one text, else NULL; sets are sorted and distinct."""
+    ok = usable(F.col("commit"), F.col("cve_ids"))
+    joined = lambda a: F.when(F.size(a) > 0, F.array_join(F.array_sort(F.array_distinct(a)), SEP))
+    values = {
+        "cve_ids": joined(F.filter(F.transform("cve_ids", lambda c: F.upper(F.trim(c))), lambda c: F.coalesce(c.rlike(CVE), F.lit(False)))),
+        "message": F.col("commit.message"), "diff": F.col("commit.diff"), "files_changed": joined(F.filter("commit.files_changed", usable_text)),
+        "authored_at": F.unix_micros("commit.authored_at").cast("string"), "committed_at": F.unix_micros("commit.committed_at").cast("string"),
+    }
+    return {f: F.when(ok[f], values[f]) for f in FIELDS} | {"src_datasets": joined(F.filter("src_datasets", usable_text))}
+
+
+def consensus_fields(entries: DataFrame, catalogue: DataFrame, texts: dict[str, Column], chunk: int = 32) -> tuple[DataFrame, DataFrame]:
+    """Groups (``g, first_id``) of entries of one commit and function, and winners (``g, field, entry_id``): for each
+    of the fields ``texts`` the entry whose value agrees best with the others of its group.
+
+    A value votes with the sum of 1/trust of its entries; equal values are counted together first, map-side and by
+    digest, so a group with a third of all rows shrinks to its distinct values, and only values that others of their
+    group contest are read as texts. Groups with more distinct values than ``chunk`` vote in rounds: chunks of that
+    size by hash, each sending its winner on with the whole weight of the chunk, until one is left. So no task ever
+    holds more than one chunk of a group. Fields with one usable value need no vote; fields without any, and entries
+    without commit id, give no winner. Ties go to the heavier, then the smaller entry. Texts are read whole, however
+    long; aligning two grows with the product of their lengths at worst.
     """
-    rows = entries.select("entry_id", "project_url", "commit_id", "function_name", F.when(is_usable, value).alias("text"), (F.lit(1.0) / F.greatest(trust_of(F.col("src_datasets"), catalogue), F.lit(1))).alias("weight"))
-    keyed = commit_entries(rows, "entry_id", "function_name", "text", "weight")
+    each = F.array(*(F.struct(F.lit(f).alias("field"), t.alias("text")) for f, t in texts.items()))
+    weight = F.lit(1.0) / F.greatest(trust_of(F.col("src_datasets"), catalogue), F.lit(1))
+    digests = F.transform(F.filter(each, lambda x: x["text"].isNotNull()), lambda x: F.struct(x["field"].alias("field"), F.unhex(F.sha2(x["text"], 256)).alias("d")))
+    keyed = commit_entries(entries.select("entry_id", "project_url", "commit_id", "function_name", weight.alias("weight"), digests.alias("digests")), "entry_id", "function_name", "weight", "digests")
     key = F.sha2(F.concat_ws("\u0001", F.col("commit_of"), F.coalesce("function_name", F.lit("\u0000"))), 256)
-    keyed = keyed.select(key.alias("g"), "entry_id", "text", "weight")
-    groups = keyed.groupBy("g").agg(F.min("entry_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "first_id")
-    votes = written(keyed.where("text IS NOT NULL").groupBy("g", "text").agg(F.round(F.sum("weight"), 9).alias("weight"), F.min("entry_id").alias("entry_id")), "votes")
-    done = None
+    keyed = written(keyed.select(key.alias("g"), "entry_id", "weight", "digests"), "keyed")
+    groups = written(keyed.groupBy("g").agg(F.min("entry_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "first_id"), "groups")
+    flat = keyed.select("g", "entry_id", "weight", F.inline("digests"))
+    votes = flat.groupBy("g", "field", "d").agg(F.round(F.sum("weight"), 9).alias("weight"), F.min("entry_id").alias("entry_id"))
+    votes = written(votes.join(groups.select("g"), "g", "left_semi"), "votes")
+    sizes = votes.groupBy("g", "field").agg(F.count(F.lit(1)).alias("k"))
+    done = votes.join(sizes.where("k = 1").select("g", "field"), ["g", "field"], "left_semi").select("g", "field", "entry_id")
+    contested = votes.join(sizes.where("k > 1").select("g", "field"), ["g", "field"], "left_semi")
+    values = entries.select("entry_id", F.inline(each)).where("text IS NOT NULL").select("entry_id", "field", "text", F.unhex(F.sha2("text", 256)).alias("d"))
+    votes = written(contested.join(values, ["entry_id", "field", "d"]).select("g", "field", "text", "weight", "entry_id"), "votes")
     while True:
-        sizes = votes.groupBy("g").agg(F.count(F.lit(1)).alias("k"))
-        lone = votes.join(sizes.where("k = 1").select("g"), "g", "left_semi").select("g", "entry_id")
-        done = lone if done is None else done.unionByName(lone)
-        many = votes.join(sizes.where("k > 1"), "g")
+        sizes = votes.groupBy("g", "field").agg(F.count(F.lit(1)).alias("k"))
+        done = done.unionByName(votes.join(sizes.where("k = 1").select("g", "field"), ["g", "field"], "left_semi").select("g", "field", "entry_id"))
+        many = votes.join(sizes.where("k > 1"), ["g", "field"])
         if many.isEmpty():
             break
         part = F.pmod(F.xxhash64("text"), F.ceil(F.col("k") / F.lit(chunk)).cast("long"))
-        cut = many.select("g", part.alias("part"), "text", "weight", "entry_id").repartition("g", "part").sortWithinPartitions("g", "part", F.desc("weight"), "entry_id")
-        votes = written(cut.mapInPandas(_vote, "g string, text string, weight double, entry_id long"), "votes")
+        cut = many.select("g", "field", part.alias("part"), "text", "weight", "entry_id").repartition("g", "field", "part").sortWithinPartitions("g", "field", "part", F.desc("weight"), "entry_id")
+        votes = written(cut.mapInPandas(_vote, "g string, field string, text string, weight double, entry_id long"), "votes")
+    return groups, done
+
+
+def consensus_values(entries: DataFrame, catalogue: DataFrame, value: Column, is_usable: Column, chunk: int = 32) -> DataFrame:
+    """``first_id, entry_id``: for each group the entry whose text agrees best; see ``consensus_fields``."""
+    groups, done = consensus_fields(entries, catalogue, {"message": F.when(is_usable, value)}, chunk)
     return groups.join(done, "g").select("first_id", "entry_id")
 
 
+def consensus_records(entries: DataFrame, catalogue: DataFrame, chunk: int = 32) -> DataFrame:
+    """One record for each group of two entries or more, every field from the entry whose value of it agrees best.
+
+    ``first_id``, its project, commit id and function; the fields of ``FIELDS`` and ``src_datasets``, NULL without any
+    usable value.
+    """
+    texts = field_texts()
+    groups, done = consensus_fields(entries, catalogue, texts, chunk)
+    picks = done.join(groups, "g").unionByName(groups.select("g", F.lit("").alias("field"), F.col("first_id").alias("entry_id"), "first_id"))
+    of = {"project_url": "", "commit_id": "", "function_name": ""} | {f: f for f in texts}
+    commit = F.col("commit")
+    columns = {c: commit[c] if c in FIELDS and c != "cve_ids" else F.col(c) for c in of}
+    rows = picks.join(entries.select("entry_id", *(v.alias(c) for c, v in columns.items())), "entry_id")
+    return rows.groupBy("g").agg(F.min("first_id").alias("first_id"), *(F.min(F.when(F.col("field") == f, F.col(c))).alias(c) for c, f in of.items())).drop("g")
+
+
 def consensus_messages(entries: DataFrame, catalogue: DataFrame) -> DataFrame:
     """``first_id, entry_id`` of the commit message that agrees best with the others of its group."""
     return consensus_values(entries, catalogue, F.col("commit.message"), usable(F.col("commit"), F.col("cve_ids"))["message"])
