@@ -10,54 +10,57 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixloom.runtime import written
 
 BLOCK = 2048
-# Share of function words above which a text is prose; nothing above it is looked at word by word.
-PROSE = 0.33
-
-# Function words of the languages that occur, without which no sentence is built (fixed values).
-FUNCTION_WORDS = frozenset(
-    "a an the and or but if when that which who this these there it its is are was were be been has have had will would can could should did do does not no "
-    "so of in on at to for from by with into than then as before after while because without since until we you they he she i me your their our only any "
-    "der die das ein eine einen einem einer und oder aber wenn dass nicht kein ist sind war wird werden wurde hat haben kann mit von vom für auf im in am an zu "
-    "nun bevor weil dort konnte konnten alle nur sowie kann zum zur bei nach vor aus durch als auch sich es wir sie den dem des ohne bis "
-    "le la les un une des du de et ou mais si que qui ce cette ces il elle nous vous est sont était a ont par pour sur dans avec sans avant après au aux ne pas "
-    "plus car dès même se en "
-    "el los las una unos y o pero que se no es son era ha han por para con sin antes del al lo su sus en como cuanto también desde este esta tras".split()
-)
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+", re.IGNORECASE)
 _TAG = re.compile(r"<[^<>]{0,400}>")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_TOKEN = re.compile(r"[^\s,;:|>»<()\[\]{}!?\"“”*]+")
+_TOKEN = re.compile(r"[^\s,;:|>»<()\[\]{}!?\"“”*，；：！？。、]+")
 # Lines that machines write: stack frames, patches, digests, logs, lists of versions.
 _MACHINE = re.compile(
     r"\s*(?:#\d+\s+0x|at\s+[\w.$]+\(|diff --git|index [0-9a-f]+\.\.|--- |\+\+\+ |@@ |[-+] {2,}|[0-9a-fA-F]{32,}\b|\d{4}-\d\d-\d\d[T ]\d\d:|\[?\d\d:\d\d:\d\d|"
     r"[A-Za-z ]{0,20}:?\s*(?:v?\d+(?:\.\d+)+[,;\s]+)+v?\d+(?:\.\d+)+[,;\s]*$| {4,}\S.*[;{})]\s*$)"
 )
-_CLOSE = re.compile(r"[^\W_][.!?][\"')\]]*(?=\s|$)")
+# A sentence ends with one of the marks that scripts use for it (fixed values).
+_CLOSE = re.compile(r"[^\W_](?:[.!?؟।።][\"')\]»”]*(?=\s|$)|\s[!?](?=\s|$)|[。！？｡])")
 
 
-def _strewn(words: list[str]) -> float:
-    """Share of the words in two-word phrases that come again and again between ever new neighbours."""
-    often = {p for p, c in Counter(zip(words, words[1:])).items() if c >= 4 and not (p[0] in FUNCTION_WORDS and p[1] in FUNCTION_WORDS)}
-    sides: dict[tuple[str, str], tuple[list[str], list[str]]] = {p: ([], []) for p in often}
-    for before, p, after in zip(words, zip(words[1:], words[2:]), words[3:]):
+def _repeats(words: list[str]) -> float:
+    """Share of the words in two-word phrases that come three times or more, mostly between ever new neighbours."""
+    n = len(words)
+    often = {p for p, c in Counter(zip(words, words[1:])).items() if c > 2}
+    if not often:
+        return 0.0
+    at: dict[tuple[str, str], list[int]] = {p: [] for p in often}
+    for i, p in enumerate(zip(words, words[1:])):
         if p in often:
-            sides[p][0].append(before)
-            sides[p][1].append(after)
-    return sum(2 * len(a) for a, b in sides.values() if min(len(set(a)), len(set(b))) >= 0.6 * len(a)) / len(words)
+            at[p].append(i)
+    covered: set[int] = set()
+    for places in at.values():
+        before, after = {words[i - 1] if i else "" for i in places}, {words[i + 2] if i + 2 < n else "" for i in places}
+        if min(len(before), len(after)) >= 0.6 * len(places):
+            covered.update(places, (i + 1 for i in places))
+    return len(covered) / n
+
+
+def block_ratio(body: str) -> float:
+    """Compressed bytes per character, averaged over equal blocks of about ``BLOCK`` characters that cover the whole text."""
+    if not body:
+        return 1.0
+    k = max(1, round(len(body) / BLOCK))
+    cuts = [len(body) * i // k for i in range(k + 1)]
+    return float(np.mean([len(zlib.compress(body[a:b].encode("utf-8", "replace"), 1)) / (b - a) for a, b in zip(cuts, cuts[1:])]))
 
 
 def measures(text: str) -> tuple[float, ...]:
-    """Shares of one text that tell pages for machines from pages for people.
+    """What tells pages for machines from pages for people, in any language.
 
-    0 characters, 1 share in link lines, 2 share of the words that the sixteen commonest content words make up,
-    3 share of the words in phrases strewn over ever new contexts, 4 share of function words, 5 sentence ends per
-    word, 6 block-wise compression ratio, 7 words, 8 share of lines that machines write.
+    0 characters, 1 all words, 2 share in link lines, 3 share of lines that machines write; of the rest: 4 words,
+    5 block-wise compression ratio, 6 sentence ends per word, 7 share of phrases repeated between new neighbours.
     """
     plain = html.unescape(text)
     size, linked, technical, rest = 0, 0, 0, []
@@ -82,16 +85,10 @@ def measures(text: str) -> tuple[float, ...]:
     body = "\n".join(rest)
     words = [w for t in _TOKEN.findall(body.lower()) if "_" not in t and "/" not in t for w in _WORD.findall(t)]
     n = len(words)
-    content = [w for w in words if w not in FUNCTION_WORDS]
-    fw = (n - len(content)) / max(n, 1)
-    top = sum(c for _, c in Counter(content).most_common(16) if c > 2) / max(n, 1) if fw < PROSE else 0.0
-    strewn = _strewn(words) if n >= 30 and top > 0.2 else 0.0
-    raw = body.encode("utf-8", "replace")
-    ratios = [len(zlib.compress(raw[i : i + BLOCK], 1)) / len(raw[i : i + BLOCK]) for i in range(0, max(len(raw) - BLOCK // 2, 1), BLOCK)] if raw else [1.0]
-    return size, linked / max(size, 1), top, strewn, fw, len(_CLOSE.findall(body)) / max(n, 1), float(np.mean(ratios)), n, technical / max(size, 1)
+    return size, len(plain.split()), linked / max(size, 1), technical / max(size, 1), n, block_ratio(body), len(_CLOSE.findall(body)) / max(n, 1), _repeats(words) if n else 0.0
 
 
-NAMES = ["doc_id", "size", "linked", "common", "strewn", "function", "closed", "ratio", "words", "machine"]
+NAMES = ["doc_id", "size", "tokens", "linked", "machine", "words", "ratio", "closed", "phrases"]
 
 
 def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,30 +106,58 @@ def page_measures(documents: DataFrame) -> DataFrame:
     return rows.mapInPandas(_measured, "doc_id long, " + ", ".join(f"{n} double" for n in NAMES[1:]) + ", lang string")
 
 
-def spam_pages(documents: DataFrame, least_size: int = 150, least_words: int = 12, links: float = 0.4, bare: float = 0.2, repeated: float = 0.33, redundant: float = 0.5, closed: float = 0.03) -> DataFrame:
-    """``doc_id, reason`` of each page most of whose text is keywords, tags, product or menu words, or links.
+def _usual(rows: DataFrame, *keys: str) -> DataFrame:
+    real = F.col("words") >= 12
+    return rows.groupBy(*keys).agg(F.percentile_approx(F.when(real, F.col("ratio")), 0.5).alias("ratio"), F.percentile_approx(F.when(real, F.col("closed")), 0.5).alias("closed"), F.sum(real.cast("long")).alias("n"))
+
+
+def normalised(rows: DataFrame, enough: int = 50) -> DataFrame:
+    """The measures with ``redundancy`` and ``sentences``: compression ratio and sentence density as multiples of the median.
 
-    ``redundant``: the block-wise compression ratio is below half the median of all documents of its language and
-    length (powers of two), and few words end a sentence. Compression alone misses link lists with varied captions,
-    short menus and keywords strewn into sentences, whose ratio is that of prose, so four more reasons are asked on
-    the same pass: ``links`` (share in lines that are a link with at most a caption), ``no sentences`` (function
-    words are missing), ``keywords`` (few content words make up much of what is left between function words), and
-    the same for phrases strewn between ever new neighbours. Lines that machines write (frames, patches, digests,
-    logs, version lists) are set aside first, and a page that is mostly those is no case. NULL, empty and one-line
-    texts (under ``least_size`` characters or ``least_words`` words) are no cases either. Every text is read whole;
-    the medians are one small table (language x length). Copies and repeated rows each come out.
+    The median is that of all documents of the same language and length (powers of two); where those are fewer than
+    ``enough``, of all documents of the length. One table of at most 27 x 26 languages x 64 lengths is broadcast.
     """
-    rows = written(page_measures(documents).withColumn("length", F.floor(F.log2(F.greatest("size", F.lit(1.0)))).cast("int")), "measures")
-    usual = rows.groupBy("lang", "length").agg(F.percentile_approx("ratio", 0.5).alias("usual"))  # 26 x 26 languages x 40 lengths at most
-    rows = rows.join(F.broadcast(usual), ["lang", "length"])
-    reason = (
+    rows = rows.withColumn("length", F.floor(F.log2(F.greatest("size", F.lit(1.0)))).cast("int"))
+    rows = written(rows, "measures")
+    own, every = _usual(rows, "lang", "length").toDF("lang", "length", "_r", "_c", "_n"), _usual(rows, "length").toDF("length", "_ra", "_ca", "_na")
+    kept = F.col("_n") >= enough
+    usual = own.join(F.broadcast(every), "length").select("lang", "length", F.when(kept, F.col("_r")).otherwise(F.col("_ra")).alias("_r"), F.when(kept, F.col("_c")).otherwise(F.col("_ca")).alias("_c"))
+    joined = rows.join(F.broadcast(usual), ["lang", "length"])
+    return joined.withColumns({"redundancy": F.col("ratio") / F.coalesce("_r", "ratio"), "sentences": F.col("closed") / F.greatest(F.coalesce("_c", F.lit(0.0)), F.lit(0.02))}).drop("_r", "_c", "length")
+
+
+def spam_reason(links: float = 0.4, few: float = 0.5, silent: float = 0.93, strewn: tuple[float, float] = (0.18, 0.3), mixed: tuple[float, float] = (0.85, 0.95)) -> Column:
+    """Why a page is none for people, or NULL. Each reason is a redundancy and a sentence density that confirms it.
+
+    ``links``: most is lines that are a link with at most a caption, so that no sentence ends in them. Of the rest,
+    ``redundant``: compresses better than usual (``silent``) and hardly a sentence ends (``few``). ``slogans``: compresses
+    far better than usual, and sentences end far more often than in prose, as slogans do. ``keywords``: compresses
+    better (``mixed``), and phrases repeated between ever new neighbours, which belong to no sentence around
+    them, make up a good part (``strewn``); the larger that part, the less redundancy is asked.
+    """
+    redundancy, sentences = F.col("redundancy"), F.col("sentences")
+    return (
         F.when(F.col("linked") >= links, "links")
-        .when(F.col("machine") > 0.5, F.lit(None))
-        .when((F.col("ratio") < redundant * F.col("usual")) & (F.col("closed") < closed) & (F.col("words") >= least_words), "redundant")
-        .when((F.col("function") < bare) & (F.col("words") >= least_words), "no sentences")
-        .when((F.col("function") < PROSE) & (F.greatest("common", "strewn") >= repeated) & (F.col("words") >= 2 * least_words), "keywords")
+        .when((F.col("machine") > 0.5) | (F.col("words") < 12), F.lit(None))
+        .when((redundancy < silent) & (sentences < few), "redundant")
+        .when(((redundancy < 0.6) & (sentences >= 1.25)) | ((redundancy < 0.75) & (sentences >= 1.9)), "slogans")
+        .when(((redundancy < mixed[0]) & (F.col("phrases") >= strewn[0])) | ((redundancy < mixed[1]) & (F.col("phrases") >= strewn[1])), "keywords")
     )
-    return rows.where(F.col("size") >= least_size).select("doc_id", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def spam_pages(documents: DataFrame, least_words: int = 12) -> DataFrame:
+    """``doc_id, reason`` of each page most of whose text is keywords, tags, product or menu words, or links.
+
+    One pass measures every text whole: the block-wise compression ratio, sentence ends per word, the share of link
+    lines and of repeated phrases. Ratio and sentence density are normalised by the medians of the corpus for language
+    and length (``normalised``), and ``spam_reason`` decides. There is no list of words of any language.
+
+    Lines that machines write (frames, patches, digests, logs, version lists) are set aside first, and a page that is
+    mostly those is no case. NULL, empty and one-line texts (under ``least_words`` words of any kind) are no cases
+    either. Copies and repeated rows each come out. Empty input gives no rows.
+    """
+    rows = normalised(page_measures(documents))
+    return rows.where(F.col("tokens") >= least_words).select("doc_id", spam_reason().alias("reason")).where(F.col("reason").isNotNull())
 
 
 def found(documents: DataFrame) -> DataFrame:

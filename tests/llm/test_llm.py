@@ -1,5 +1,6 @@
 import os
 import random
+import re
 from datetime import datetime
 
 import numpy as np
@@ -213,7 +214,48 @@ def test_spam(spark):
         11: prose + other, 12: other + "\n" + "\n".join(f"#{i} 0x{r.getrandbits(40):x} in f{i} a/b.c:{i}" for i in range(60)), 13: other + "\n" + "\n".join(f"{r.getrandbits(256):064x}" for _ in range(20)), 14: "", 15: None, 16: "fix overflow", 17: other + prose + "\nReferences\n- http://a.test/x\n- http://b.test/y",
         18: "a" * 200_000, 19: "1.2" * 50_000 + "x",
     }
+    vocabulary = ["".join(r.choice(["ka", "re", "to", "mi", "lun", "ser", "ter", "do", "pa", "sti"]) for _ in range(1 + i % 4)) for i in range(900)]
+    common = [1 / (i + 3) for i in range(900)]
+    usual = [" ".join(" ".join(r.choices(vocabulary, common, k=r.randrange(9, 20))).capitalize() + "." for _ in range(n % 24 + 1)) for n in range(300)]
+    docs |= {1000 + i: t for i, t in enumerate(usual)}
     df = spark.createDataFrame([(i, t, None if i == 1 else "EN-us", 0) for i, t in docs.items()] + [(None, docs[1], "en", 0)], "doc_id long, text string, lang string, size long")
     got = {r.doc_id for r in spam.spam_pages(df).collect()}
     assert got - {18, 19} == {1, 2, 3, 4, 5, 6}
     assert spam.spam_pages(df.limit(0)).count() == 0
+    lines = df.limit(0).unionByName(df.where("doc_id >= 1000")).unionByName(spark.createDataFrame([(1, "\n".join(["vpn coupon", "zero day"] * 6), "en", 0), (2, "fix overflow", "en", 0), (3, "see https://a.test/x", "en", 0)], df.schema))
+    assert {r.doc_id for r in spam.spam_pages(lines).collect()} == {1}  # short, but several lines of keywords
+
+
+PROSE = {
+    "ru": "Разбор заголовка теперь проверяет длину поля до копирования данных. Раньше клиент мог записать байты за пределами буфера, и сервер аварийно завершался. Мы добавили тест, который повторяет ошибку на старой версии. Обновление рекомендуется всем, кто принимает запросы из внешней сети.",
+    "pl": "Parser nagłówka sprawdza teraz długość pola przed skopiowaniem danych. Wcześniej klient mógł zapisać bajty poza końcem bufora, a serwer kończył pracę z błędem. Dodaliśmy test, który odtwarza problem na starej wersji. Aktualizację zalecamy wszystkim, którzy przyjmują żądania z sieci zewnętrznej.",
+    "nl": "De parser controleert nu de lengte van het veld voordat de gegevens worden gekopieerd. Eerder kon een client bytes voorbij het einde van de buffer schrijven, waarna de server vastliep. We hebben een test toegevoegd die de fout in de oude versie laat zien. Iedereen die verzoeken van buiten aanneemt, zou moeten bijwerken.",
+    "sv": "Tolken kontrollerar nu fältets längd innan den kopierar data. Tidigare kunde en klient skriva byte förbi slutet på bufferten, och servern stannade. Vi har lagt till ett test som visar felet i den gamla versionen. Alla som tar emot anrop utifrån bör uppdatera så snart som möjligt.",
+    "it": "Il parser ora controlla la lunghezza del campo prima di copiare i dati. In precedenza un client poteva scrivere oltre la fine del buffer e il server si fermava. Abbiamo aggiunto una prova che riproduce il difetto nella vecchia versione. Chi riceve richieste dalla rete esterna dovrebbe aggiornare appena possibile.",
+    "zh": "解析器现在会在复制数据之前检查字段的长度。以前，客户端可以把字节写到缓冲区之外，服务器随后崩溃。我们增加了一个测试，用来在旧版本上重现这个错误。建议所有从外部网络接收请求的用户尽快升级。",
+}
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_prose_of_any_language_is_no_spam(spark, known):
+    """Whether the corpus knows the language (many documents of it) or only its length counts."""
+    r = random.Random(2)
+    rows = []
+    for lang, text in PROSE.items():
+        parts = [p + ("。" if lang == "zh" else ".") for p in re.split(r"[.。]\s*", text) if p]
+        for i in range(120 if known else 3):
+            rows.append((len(rows), ("" if lang == "zh" else " ").join(r.sample(parts, len(parts)) * (1 + i % 2)), lang))
+    real = len(rows)
+    words = "купить дешёвый хостинг ключ скидка антивирус взлом бесплатно".split()
+    rows.append((real, ", ".join(r.choice(words) for _ in range(90)), "ru"))
+    english = " ".join(PROSE["it"].split())
+    rows += [(real + 1 + i, " ".join(f"{w}{r.randrange(60)}" if len(w) > 5 else w for w in english.split()) * (1 + i % 3), "en") for i in range(200)]
+    got = {x.doc_id for x in spam.spam_pages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {real}
+
+
+def test_every_character_counts():
+    """The last block is no exception: redundancy after the first 2,048 characters is seen."""
+    r = random.Random(4)
+    head = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(2048))
+    assert spam.block_ratio(head + "z" * 1000) < 0.8 * spam.block_ratio(head + "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(1000)))
