@@ -32,16 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[sc.applicationId]
 
 
-def written(df: DataFrame, name: str = "t") -> DataFrame:
+def written(df: DataFrame, name: str = "t", *by: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, its lineage cut, safe against lost executors.
 
-    Parquet keeps it columnar and compressed, so later readers prune columns. The folder is removed when the
-    driver's JVM ends.
+    Parquet keeps it columnar and compressed, so later readers prune columns; with ``by``, the columns that name its
+    folders, they prune rows as well. The folder is removed when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fixloom-{_RUN}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=list(by) or None)
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
