@@ -20,7 +20,21 @@ _FLAGS = {
 }
 _RANK = "struct_pack(t := coalesce(t, 2147483647), a := coalesce(-epoch_us(ingested_at), 9223372036854775807), e := entry_id)"
 
+_BLANK = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
+
+
+def _bare(v: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace(lower({v}), '{_BLANK}', '', 'g'), '/{{2,}}', '/', 'g'), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')"
+
+
+_PAIR = r"""'["'']?([A-Za-z_]+)["'']?\s*(?:=>|[:=])\s*("[^"]*"|''[^'']*''|[^,;|}\n]*)'"""
+_RECORDS = f"""x AS (SELECT raw_id, project_url AS p, commit_id AS c, extra, regexp_extract_all(extra, {_PAIR}, 1) AS n, regexp_extract_all(extra, {_PAIR}, 2) AS v FROM raw_records),
+rec AS (SELECT raw_id, {_bare('p')} AS p, {_bare('c')} AS c, array_to_string(list_sort([concat({_bare('n[i]')}, '=', {_bare('v[i]')}) FOR i IN range(1, len(n) + 1)]), chr(10)) AS f FROM x),
+grp AS (SELECT *, min(raw_id) OVER (PARTITION BY p, c, f) AS first_id FROM rec)"""
+
 SQL = {
+    "p6_found": f"WITH {_RECORDS} SELECT first_id, raw_id FROM grp WHERE raw_id <> first_id",
+    "p6_collapsed": f"WITH {_RECORDS} SELECT first_id, count(*) AS n_copies FROM grp GROUP BY 1",
     "p1_found": f"WITH {KEYED}, p AS (SELECT a.entry_id AS x, b.entry_id AS y FROM keyed a JOIN keyed b ON a.commit_of = b.commit_of WHERE a.split = 'train' AND b.split IN ('validation', 'test')) SELECT least(x, y) AS entry_id_1, greatest(x, y) AS entry_id_2 FROM p",
     "p1_report": f"""WITH {KEYED}, tr AS (SELECT commit_of, count(*) AS n FROM keyed WHERE split = 'train' GROUP BY 1),
 h AS (SELECT entry_id, split, src_datasets, coalesce(sum(n), 0) AS n FROM keyed LEFT JOIN tr USING (commit_of) WHERE split IN ('validation', 'test') GROUP BY 1, 2, 3),

@@ -115,6 +115,43 @@ def test_canonical(spark):
     assert canonical.copies(df.limit(0)).count() == 0 and canonical.collapsed(df.limit(0)).count() == 0
 
 
+SAME = [  # texts of one record
+    ['{"a": "X", "b": 1}', "B=1;A=x", "a: 'x'\nb: '1'", "{'b' => '1', 'a' => 'x',}", "a: x | b: 1", "a=1x, b=1".replace("1x", "x"), '{\n  "B" : "1",\n  "A" : "x"\n}'],
+    ['{"n": "v | w; u", "m": 2}', "n: 'v | w; u'\nm: '2'"],
+    ['{"cves": ["CVE-2020-1111","CVE-2020-2222"], "a": 1}', '{"A": "1", "cves": [ "cve-2020-1111", "CVE-2020-2222" ]}'],
+    ["", "  ", "{}", "{ }"],
+    ['{"a": {"b": {"c": 1}}, "d": 2}', '{"a": {"B": {"c": 1} }, "d":2}'],
+]
+OTHER_TEXTS = [
+    '{"cves": ["CVE-2020-1111","CVE-2020-3333"], "a": 1}', '{"cves": ["CVE-2020-1111"], "a": 1}', '{"cves": "CVE-2020-1111", "a": 1}', "note: fix a, then b | x: 1", "note: fix a, then c | x: 1", '{"a": {"b": 1, "c": 2}, "d": 3}',
+    '{"a": {"b": 1}, "c": 2, "d": 3}', '{"a": {"b": {"c": 1}, "d": 2}}', '{"a":1} {"b":2}', '{"a":1} {"b":3}', '{"a": "x"} tail', '{"a": "x"} other', "a=1;x;b=2", "a=1;b=2;x", "free text", '{"t": "say \\"a, b: c\\" ok"}', '{"t": "say \\"a, b: d\\" ok"}', "k=v=w;l=1", "k=v;l=1",
+]
+
+
+def test_different_records_stay_apart(spark):
+    """Lists, nested objects, separators inside values, and texts that no form covers: nothing is left out of the comparison."""
+    rows = [(g, t) for g, texts in enumerate([*SAME, *([t] for t in OTHER_TEXTS)]) for t in texts]
+    df = spark.createDataFrame([(i, P, FULL, t) for i, (_, t) in enumerate(rows)], "raw_id long, project_url string, commit_id string, extra string")
+    want = {}
+    for i, (g, _) in enumerate(rows):
+        want.setdefault(g, []).append(i)
+    pairs_ = sorted((ids[0], i) for ids in want.values() for i in ids[1:])
+    assert pairs(canonical.copies(df)) == pairs_
+    assert pairs(canonical.collapsed(df)) == sorted((ids[0], len(ids)) for ids in want.values())
+
+
+def test_no_single_record_is_shuffled(spark):
+    """Whatever the number of slices of the filter, records are judged in place, and the results are the same."""
+    df = spark.range(6000).select(F.col("id").alias("raw_id"), F.lit(P).alias("project_url"), F.lit(FULL).alias("commit_id"), F.concat(F.lit("k="), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 5000)).alias("extra")).repartition(5)
+    one = pairs(canonical.collapsed(df))
+    assert pairs(canonical.collapsed(df, slice_blocks=5)) == one and sum(n for _, n in one) == 6000 and max(n for _, n in one) == 2001
+    assert pairs(canonical.copies(df, slice_blocks=7)) == pairs(canonical.copies(df))
+    rows, slices = canonical.hashed(df, slice_blocks=5)
+    assert slices == 5 and rows.select("slice").distinct().count() == 5
+    _, single = canonical.possible_repeats(df, slice_blocks=5)
+    assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
+
+
 def test_filters_never_lose_a_repeat(spark):
     df = spark.range(4000).select((F.col("id") % 2500).alias("k"), F.col("id").alias("raw_id"), F.lit(P).alias("project_url"), F.lit(FULL).alias("commit_id")).withColumn("extra", F.concat(F.lit("k="), F.col("k"))).repartition(7)
     maybe, single = canonical.possible_repeats(df)
