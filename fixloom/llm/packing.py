@@ -89,82 +89,95 @@ def _curve(mean: list[float], spread: list[float]):
     return run
 
 
+def chosen(sizes: list[int], room: int, slack: int) -> list[int]:
+    """Positions of the items that fill ``room`` best, from as few of the first items as leave at most ``slack`` free.
+
+    Sums that the first items can reach are a bit set; items are added in order until one of its sums is near enough.
+    """
+    reach, history, mask = 1, [], (1 << room + 1) - 1
+    for size in sizes:
+        history.append(reach)
+        reach = (reach | reach << size) & mask
+        if room - reach.bit_length() + 1 <= slack:
+            break
+    total, out = reach.bit_length() - 1, []
+    for i in range(len(history) - 1, -1, -1):
+        if not history[i] >> total & 1:
+            out.append(i)
+            total -= sizes[i]
+    return out
+
+
 class Packer:
-    """Best fit over a run of items: the fullest container that still takes the item, found in a bit set of free spaces."""
-
-    def __init__(self, capacity: int):
-        self.capacity, self.free, self.waiting, self.made = capacity, 0, {}, 0
-
-    def put(self, size: int) -> int:
-        fits = self.free >> size << size
-        if fits:
-            space = (fits & -fits).bit_length() - 1
-            box = self.waiting[space].pop()
-            if not self.waiting[space]:
-                self.free ^= 1 << space
-        else:
-            box, space, self.made = self.made, self.capacity, self.made + 1
-        left = space - size
-        if left:
-            self.waiting.setdefault(left, []).append(box)
-            self.free |= 1 << left
-        return box
-
-    def close(self, below: int) -> None:
-        """Containers with little space left take no more items, so what is open stays bounded."""
-        for space in [s for s, boxes in self.waiting.items() if s < below or not boxes]:
-            self.waiting.pop(space)
-            self.free &= ~(1 << space)
-
-
-def _pack(targets: list[tuple[int, int]], window: int):
+    """Packs a stretch of the curve for one capacity: the item furthest behind opens a container, neighbours fill it."""
+
+    def __init__(self, capacity: int, ahead: int, slack: float):
+        self.capacity, self.ahead, self.slack = capacity, ahead, int(capacity * slack)
+        self.waiting: list[tuple] = []
+        self.made = 0
+
+    def put(self, item: tuple) -> Iterator[tuple[int, tuple]]:
+        """Takes an item (its size first), gives the containers that became full as (container, item)."""
+        self.waiting.append(item)
+        if len(self.waiting) > self.ahead:
+            yield from self.fill()
+
+    def fill(self) -> Iterator[tuple[int, tuple]]:
+        first, rest = self.waiting[0], self.waiting[1:]
+        taken = set(chosen([i[0] for i in rest], self.capacity - first[0], self.slack))
+        box, self.made = self.made, self.made + 1
+        yield box, first
+        yield from ((box, rest[i]) for i in sorted(taken))
+        self.waiting = [item for i, item in enumerate(rest) if i not in taken]
+
+    def close(self) -> Iterator[tuple[int, tuple]]:
+        while self.waiting:
+            yield from self.fill()
+
+
+_PACKED = ["target_id", "container_id", "doc_id", "piece", "start_token", "n_tokens", "place"]
+
+
+def _pack(targets: list[tuple[int, int]], ahead: int, slack: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packers, number = {t: Packer(c) for t, c in targets}, {t: 0 for t, _ in targets}
-        part = None
-        for batch in _windows(batches, window):
-            if part is None:
-                from pyspark import TaskContext
-
-                part = TaskContext.get().partitionId()
-            out: list[tuple] = []
-            for target, capacity in targets:
-                packer, mine = packers[target], []
-                for doc, n in zip(batch["doc_id"].tolist(), batch["n_tokens"].tolist()):
+        packers, number = {t: Packer(c, ahead, slack) for t, c in targets}, {t: 0 for t, _ in targets}
+        from pyspark import TaskContext
+
+        part, place, out = TaskContext.get().partitionId(), 0, []
+
+        def rows(target: int, placed: Iterator[tuple[int, tuple]]) -> None:
+            out.extend((target, f"{part}-{box}", doc, piece, piece * capacity_of[target], n, at) for box, (n, doc, piece, at) in placed)
+
+        capacity_of = dict(targets)
+        for batch in batches:
+            for doc, n in zip(batch["doc_id"].tolist(), batch["n_tokens"].tolist()):
+                for target, capacity in targets:
                     whole = n // capacity if n > capacity else 0
                     for piece in range(whole):
-                        out.append((target, f"{part}-full-{number[target]}", doc, piece, piece * capacity, capacity))
+                        out.append((target, f"{part}-full-{number[target]}", doc, piece, piece * capacity, capacity, place))
                         number[target] += 1
                     if n - whole * capacity or not n:
-                        mine.append((n - whole * capacity, doc, whole))
-                for size, doc, piece in sorted(mine, key=lambda m: (-m[0], m[1], m[2])):
-                    box = packer.put(size) if size else max(packer.made - 1, 0)
-                    packer.made = max(packer.made, 1)
-                    out.append((target, f"{part}-{box}", doc, piece, piece * capacity, size))
-                packer.close(max(1, capacity // 256))
-            yield pd.DataFrame(out, columns=["target_id", "container_id", "doc_id", "piece", "start_token", "n_tokens"])
+                        rows(target, packers[target].put((n - whole * capacity, doc, whole, place)))
+                place += 1
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=_PACKED)
+                    out.clear()
+        for target, packer in packers.items():
+            rows(target, packer.close())
+        yield pd.DataFrame(out, columns=_PACKED)
 
     return run
 
 
-def _windows(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    held: list[pd.DataFrame] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(map(len, held)) >= size:
-            yield pd.concat(held)
-            held = []
-    if held:
-        yield pd.concat(held)
-
-
-def packed(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, items_per_task: int = 50_000, window: int = 10_000, most_targets: int = 1_000) -> DataFrame:
-    """``target_id, container_id, doc_id, piece, start_token, n_tokens``: every token of every document, once for each target.
+def packed(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, items_per_task: int = 50_000, ahead: int = 256, slack: float = 1 / 128, most_targets: int = 1_000) -> DataFrame:
+    """``target_id, container_id, doc_id, piece, start_token, n_tokens, place``: every token of every document, once for each target.
 
     Documents become points (hashed token vectors on few axes, centred by the corpus mean), points positions on a
     Hilbert curve, and one range sort by that position makes all targets. Each task packs its stretch of the curve
-    in windows of neighbours, the longest first, best fit; open containers go on to the next window, so neighbours
-    share containers and only the end of a stretch leaves any underfilled. Copies have equal positions; the sort
-    goes on by a hash of the id, so they spread over tasks.
+    along it: the first item not yet packed opens a container, and the nearest of the ``ahead`` items that follow it
+    fill it, as many as it takes to leave at most ``slack`` of it free. So a container holds neighbours on the curve,
+    and only the end of a stretch leaves any underfilled. ``place`` is a document's rank within its stretch. Copies
+    have equal positions; the sort goes on by a hash of the id, so they spread over tasks.
 
     A text above the capacity is cut into full containers and a rest that is packed like any item; no other text is
     cut. Empty and NULL texts take no tokens and are listed in a container. Repeated rows are packed again; rows
@@ -182,11 +195,33 @@ def packed(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER,
     keyed = points.mapInPandas(_curve(mean, spread), "doc_id long, n_tokens long, curve long").withColumn("spread", F.xxhash64("doc_id"))
     sorted_ = keyed.repartitionByRange(tasks, "curve", "spread").sortWithinPartitions("curve", "spread", "doc_id").select("doc_id", "n_tokens")
     kind = targets.schema["target_id"].dataType.simpleString()
-    return sorted_.mapInPandas(_pack([(r[0], int(r[1])) for r in wanted], window), f"target_id {kind}, container_id string, doc_id long, piece long, start_token long, n_tokens long")
+    return sorted_.mapInPandas(_pack([(r[0], int(r[1])) for r in wanted], ahead, slack), f"target_id {kind}, container_id string, doc_id long, piece long, start_token long, n_tokens long, place long")
 
 
 def fill_report(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """``target_id, n_containers, n_tokens, fill``."""
-    boxes = packed(documents, targets).groupBy("target_id", "container_id").agg(F.sum("n_tokens").alias("n"))
-    sums = boxes.groupBy("target_id").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n").alias("n_tokens")).join(F.broadcast(targets), "target_id")
-    return sums.select("target_id", "n_containers", "n_tokens", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 4).alias("fill"))
+    """``target_id, n_containers, n_tokens, fill, spread, shuffled``.
+
+    ``spread`` is how far apart on the curve the documents of a container lie, as a share of all documents, over the
+    containers of two documents or more; ``shuffled`` is what it would be had the documents been put in at random.
+    """
+    n = documents.where(F.col("doc_id").isNotNull()).count()
+    boxes = packed(documents, targets).groupBy("target_id", "container_id").agg(F.sum("n_tokens").alias("n"), (F.max("place") - F.min("place")).alias("far"), F.count(F.lit(1)).alias("k"))
+    several = F.col("k") > 1
+    sums = boxes.groupBy("target_id").agg(
+        F.count(F.lit(1)).alias("n_containers"), F.sum("n").alias("n_tokens"), F.round(F.avg(F.when(several, F.col("far") / F.lit(max(n, 1)))), 4).alias("spread"),
+        F.round(F.avg(F.when(several, (F.col("k") - 1) / (F.col("k") + 1))), 4).alias("shuffled"),
+    ).join(F.broadcast(targets), "target_id")
+    return sums.select("target_id", "n_containers", "n_tokens", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 4).alias("fill"), "spread", "shuffled")
+
+
+def packing_check(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """``target_id, n_documents, n_overfull, n_gaps, n_cut``: documents packed, and what must not occur.
+
+    Containers above the capacity, pieces that do not begin where the one before them ended, and cut documents that a
+    container could have held.
+    """
+    rows = packed(documents, targets).join(F.broadcast(targets.select("target_id", "capacity_tokens")), "target_id")
+    over = rows.groupBy("target_id", "container_id").agg(F.sum("n_tokens").alias("n"), F.first("capacity_tokens").alias("c")).groupBy("target_id").agg(F.sum((F.col("n") > F.col("c")).cast("long")).alias("n_overfull"))
+    each = rows.groupBy("target_id", "doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"), F.count(F.lit(1)).alias("k"), F.first("capacity_tokens").alias("c"))
+    gaps, cut = (F.col("n") != F.col("end")).cast("long"), ((F.col("k") > 1) & (F.col("n") <= F.col("c"))).cast("long")
+    return each.groupBy("target_id").agg(F.count(F.lit(1)).alias("n_documents"), F.sum(gaps).alias("n_gaps"), F.sum(cut).alias("n_cut")).join(over, "target_id").select("target_id", "n_documents", "n_overfull", "n_gaps", "n_cut")

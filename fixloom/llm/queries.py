@@ -21,6 +21,7 @@ QUERIES = {
     "p7_split": lambda spark, d: splits.grouped_split(table(spark, d, "entries")),
     "p8_pack": lambda spark, d: packing.packed(table(spark, d, "documents"), table(spark, d, "pack_targets")),
     "p8_fill": lambda spark, d: packing.fill_report(table(spark, d, "documents"), table(spark, d, "pack_targets")),
+    "p8_check": lambda spark, d: packing.packing_check(table(spark, d, "documents"), table(spark, d, "pack_targets")),
     "p9_found": lambda spark, d: leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")),
     "p9_report": lambda spark, d: leakage.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items")),
     "p10_found": lambda spark, d: spam.found(table(spark, d, "documents")),

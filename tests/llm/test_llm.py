@@ -200,6 +200,21 @@ def test_packing(spark):
     assert packing.packed(docs.limit(0), targets).count() == 0 and packing.packed(docs, targets.limit(0)).count() == 0
 
 
+def test_containers_are_filled_from_nearby():
+    r = random.Random(9)
+    sizes = [r.randrange(1, 512) for _ in range(3000)]
+    packer, boxes = packing.Packer(512, 256, 1 / 128), {}
+    for at, n in enumerate(sizes):
+        for box, (m, i) in packer.put((n, at)):
+            boxes.setdefault(box, []).append((i, m))
+    for box, (m, i) in packer.close():
+        boxes.setdefault(box, []).append((i, m))
+    assert sorted(i for b in boxes.values() for i, _ in b) == list(range(3000)) and max(sum(m for _, m in b) for b in boxes.values()) <= 512
+    several = [b for b in boxes.values() if len(b) > 1]
+    assert sum(max(i for i, _ in b) - min(i for i, _ in b) for b in several) / len(several) < 3000 / 10
+    assert packing.chosen([5, 3, 9, 4], 12, 0) == [2, 1] and packing.chosen([], 5, 0) == [] and packing.chosen([7], 5, 0) == []
+
+
 def test_hilbert():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     keys = packing.hilbert_keys(cells, 3)
