@@ -1,9 +1,12 @@
-from datetime import datetime, timezone
+import random
+from datetime import datetime, timedelta, timezone
+from zoneinfo import ZoneInfo
 
+import pytest
 from pyspark.sql import functions as F
 
 from fixloom.functions.instants import utc_micros
-from fixloom.operators.instants import estimate_zones, normalise_instants
+from fixloom.operators.instants import estimate_zones, normalise_instants, zone_report
 
 CASES = {  # text, in a source whose clock is in New York -> instant in UTC
     "2020-01-02 03:04:05": "2020-01-02 08:04:05", "2020-07-02T03:04:05.1234567": "2020-07-02 07:04:05.123456", "2020-01-02T03:04:05Z": "2020-01-02 03:04:05", "2020-01-02t03:04:05z": "2020-01-02 03:04:05",
@@ -47,3 +50,46 @@ def test_estimated_zone(spark):
     rows += [(i, "u", "2020-01-10T12:00:00Z", None, datetime(2021, 3, 1, 12), "", "") for i in range(5)]
     got = estimate_zones(table(spark, rows), "src", ["a", "b"], "ingested_at").collect()
     assert [(r.src, r.zone, r.n_local, r.n_violations) for r in got] == [("s", "America/New_York", 60, 0)]
+
+
+ZONES = {"ny": "America/New_York", "to": "Asia/Tokyo", "be": "Europe/Berlin", "ko": "Asia/Kolkata"}
+
+
+def local_rows(zones, n, least_s, most_s, zoned=0, step_s=1, seed=3):
+    """Local times of sources over two years, each taken in a random lag later; ``zoned`` of them name UTC."""
+    r, rows = random.Random(seed), []
+    for src, zone in zones.items():
+        for i in range(n + zoned):
+            at = datetime(2020, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=r.randrange(2 * 365 * 86_400))
+            text = at.strftime("%Y-%m-%dT%H:%M:%SZ") if i >= n else at.astimezone(ZoneInfo(zone)).strftime("%Y-%m-%d %H:%M:%S")
+            lag = r.randrange(least_s // step_s, most_s // step_s + 1) * step_s
+            rows.append((len(rows), src, text, None, (at + timedelta(seconds=lag)).replace(tzinfo=None), "", ""))
+    return rows
+
+
+@pytest.mark.parametrize("zoned", [0, 100])
+def test_zones_of_random_lags(spark, zoned):
+    """Lags of two minutes to a day, at no pace: order and tightness alone tell the zone."""
+    got = {x.src: x for x in estimate_zones(table(spark, local_rows(ZONES, 400, 120, 86_400, zoned)), "src", ["a", "b"], "ingested_at").collect()}
+    assert {s: x.zone for s, x in got.items()} == ZONES and all(x.n_local == 400 and x.n_violations == 0 for x in got.values())
+
+
+def test_zones_of_a_steady_pace(spark):
+    """Lags of whole weeks: no order is broken by any zone, but the times that name theirs show the pace."""
+    got = {x.src: x.zone for x in estimate_zones(table(spark, local_rows(ZONES, 200, 7 * 86_400, 70 * 86_400, 60, 86_400)), "src", ["a", "b"], "ingested_at").collect()}
+    assert got == ZONES
+
+
+def test_a_zone_that_fits_nothing_is_none(spark):
+    early = local_rows({"x": "UTC"}, 100, -40 * 86_400, -20 * 86_400)
+    assert [(r.zone, r.n_violations) for r in estimate_zones(table(spark, early), "src", ["a", "b"], "ingested_at").collect()] == [(None, 100)]
+    catalogue = spark.createDataFrame([("y", "Asia/Tokyo")], "src string, local_tz string")
+    report = zone_report(table(spark, local_rows({"x": "UTC", "y": "Europe/Berlin"}, 300, 120, 86_400)), "src", ["a", "b"], "ingested_at", catalogue)
+    assert sorted(map(tuple, report.collect())) == [("x", "UTC", None, True), ("y", "Europe/Berlin", "Asia/Tokyo", True)]
+
+
+def test_more_sources_than_a_map_takes(spark):
+    rows = local_rows({f"s{i}": "Asia/Tokyo" for i in range(7)}, 40, 120, 86_400)
+    catalogue = spark.createDataFrame([("s0", "Asia/Kolkata"), ("s1", None), ("s1", None)], "src string, local_tz string")
+    joined, mapped = (sorted(map(tuple, normalise_instants(table(spark, rows), "row_id", "src", ["a", "b"], "ingested_at", catalogue, most=m).collect())) for m in (3, 10))
+    assert joined == mapped and len(mapped) == len(rows)
