@@ -79,32 +79,39 @@ def field_texts() -> dict[str, Column]:
     return {f: F.when(ok[f], values[f]) for f in FIELDS} | {"src_datasets": joined(F.filter("src_datasets", usable_text))}
 
 
-def consensus_fields(entries: DataFrame, catalogue: DataFrame, texts: dict[str, Column], chunk: int = 32) -> tuple[DataFrame, DataFrame]:
+def consensus_fields(entries: DataFrame, catalogue: DataFrame, texts: dict[str, Column], chunk: int = 32, few: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """Groups (``g, first_id``) of entries of one commit and function, and winners (``g, field, entry_id``): for each
     of the fields ``texts`` the entry whose value agrees best with the others of its group.
 
     A value votes with the sum of 1/trust of its entries; equal values are counted together first, map-side and by
-    digest, so a group with a third of all rows shrinks to its distinct values, and only values that others of their
-    group contest are read as texts. Groups with more distinct values than ``chunk`` vote in rounds: chunks of that
-    size by hash, each sending its winner on with the whole weight of the chunk, until one is left. So no task ever
-    holds more than one chunk of a group. Fields with one usable value need no vote; fields without any, and entries
-    without commit id, give no winner. Ties go to the heavier, then the smaller entry. Texts are read whole, however
-    long; aligning two grows with the product of their lengths at worst.
+    digest, so a group with a third of all rows shrinks to its distinct values. A value with more than half of the
+    weight of its group wins every column of any alignment, so the consensus is that value, and it is taken without
+    reading a text. Only where no value has that are the values aligned: their entries (``entry_id`` alone is
+    broadcast, up to ``few``) give their texts, nothing else is shuffled. More distinct values than ``chunk`` vote in
+    rounds: chunks of that size by hash, each sending its winner on with the whole weight of the chunk, until one is
+    left. So no task ever holds more than one chunk of a group. Fields without a usable value, and entries without
+    commit id, give no winner. Ties go to the heavier, then the smaller entry. Texts are read whole, however long;
+    aligning two grows with the product of their lengths at worst.
     """
     each = F.array(*(F.struct(F.lit(f).alias("field"), t.alias("text")) for f, t in texts.items()))
     weight = F.lit(1.0) / F.greatest(trust_of(F.col("src_datasets"), catalogue), F.lit(1))
     digests = F.transform(F.filter(each, lambda x: x["text"].isNotNull()), lambda x: F.struct(x["field"].alias("field"), F.unhex(F.sha2(x["text"], 256)).alias("d")))
     keyed = commit_entries(entries.select("entry_id", "project_url", "commit_id", "function_name", weight.alias("weight"), digests.alias("digests")), "entry_id", "function_name", "weight", "digests")
-    key = F.sha2(F.concat_ws("\u0001", F.col("commit_of"), F.coalesce("function_name", F.lit("\u0000"))), 256)
+    key = F.unhex(F.sha2(F.concat_ws("\u0001", F.col("commit_of"), F.coalesce("function_name", F.lit("\u0000"))), 256))
     keyed = written(keyed.select(key.alias("g"), "entry_id", "weight", "digests"), "keyed")
     groups = written(keyed.groupBy("g").agg(F.min("entry_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "first_id"), "groups")
     flat = keyed.select("g", "entry_id", "weight", F.inline("digests"))
-    votes = flat.groupBy("g", "field", "d").agg(F.round(F.sum("weight"), 9).alias("weight"), F.min("entry_id").alias("entry_id"))
-    votes = written(votes.join(groups.select("g"), "g", "left_semi"), "votes")
-    sizes = votes.groupBy("g", "field").agg(F.count(F.lit(1)).alias("k"))
-    done = votes.join(sizes.where("k = 1").select("g", "field"), ["g", "field"], "left_semi").select("g", "field", "entry_id")
-    contested = votes.join(sizes.where("k > 1").select("g", "field"), ["g", "field"], "left_semi")
-    values = entries.select("entry_id", F.inline(each)).where("text IS NOT NULL").select("entry_id", "field", "text", F.unhex(F.sha2("text", 256)).alias("d"))
+    votes = flat.groupBy("g", "field", "d").agg(F.round(F.sum("weight"), 9).alias("weight"), F.min("entry_id").alias("entry_id")).join(groups.select("g"), "g", "left_semi")
+    votes = written(votes, "votes")
+    heaviest = F.max(F.struct("weight", (-F.col("entry_id")).alias("e")))
+    sizes = votes.groupBy("g", "field").agg(F.count(F.lit(1)).alias("k"), F.sum("weight").alias("all"), heaviest.alias("top"))
+    sizes = written(sizes.select("g", "field", "k", (F.col("top.weight") * 2 > F.col("all") + 1e-6).alias("major"), (-F.col("top.e")).alias("entry_id")), "sizes")
+    agreed_on = F.col("major") | (F.col("k") == 1)
+    done = sizes.where(agreed_on).select("g", "field", "entry_id")
+    contested = written(votes.join(sizes.where(~agreed_on).select("g", "field"), ["g", "field"], "left_semi"), "contested")
+    wanted = contested.select("entry_id").distinct()
+    wanted = F.broadcast(wanted) if contested.count() <= few else wanted
+    values = entries.join(wanted, "entry_id", "left_semi").select("entry_id", F.inline(each)).where("text IS NOT NULL").select("entry_id", "field", "text", F.unhex(F.sha2("text", 256)).alias("d"))
     votes = written(contested.join(values, ["entry_id", "field", "d"]).select("g", "field", "text", "weight", "entry_id"), "votes")
     while True:
         sizes = votes.groupBy("g", "field").agg(F.count(F.lit(1)).alias("k"))
@@ -114,7 +121,7 @@ def consensus_fields(entries: DataFrame, catalogue: DataFrame, texts: dict[str,
             break
         part = F.pmod(F.xxhash64("text"), F.ceil(F.col("k") / F.lit(chunk)).cast("long"))
         cut = many.select("g", "field", part.alias("part"), "text", "weight", "entry_id").repartition("g", "field", "part").sortWithinPartitions("g", "field", "part", F.desc("weight"), "entry_id")
-        votes = written(cut.mapInPandas(_vote, "g string, field string, text string, weight double, entry_id long"), "votes")
+        votes = written(cut.mapInPandas(_vote, "g binary, field string, text string, weight double, entry_id long"), "votes")
     return groups, done
 
 

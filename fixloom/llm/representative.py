@@ -1,4 +1,9 @@
-"""One surviving record for each group of duplicates, chosen field by field."""
+"""One surviving record for each group of duplicates, chosen field by field.
+
+The vote of ``consensus`` with weights that rank entries: where each rank outweighs all lower ones together, the value
+of the first-ranked entry has the majority in every column of any alignment, so it is the consensus, and nothing has to be
+aligned. ``surviving_entries`` finds that entry; weights that do not rank strictly go through ``consensus_fields``.
+"""
 
 from __future__ import annotations
 

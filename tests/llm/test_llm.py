@@ -311,3 +311,33 @@ def test_every_character_counts():
     r = random.Random(4)
     head = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(2048))
     assert spam.block_ratio(head + "z" * 1000) < 0.8 * spam.block_ratio(head + "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(1000)))
+
+
+def test_majority_is_the_consensus():
+    """A value with more than half of the weight is what aligning and voting gives, so it needs neither."""
+    r = random.Random(8)
+    for _ in range(200):
+        texts = list({" ".join(r.choice("ab cd ef gh".split()) for _ in range(r.randrange(1, 12))) for _ in range(r.randrange(2, 6))})
+        weights = [r.random() for _ in texts]
+        lead = r.randrange(len(texts))
+        weights[lead] = sum(w for i, w in enumerate(weights) if i != lead) * 1.01 + 0.01
+        assert consensus.closest(texts, weights) == lead
+
+
+def test_ranked_rule_is_a_vote(spark):
+    """p5_found: where each rank outweighs all lower ones together, the vote gives the first-ranked value."""
+    r, at = random.Random(6), [datetime(2020, 1, d) for d in (1, 2, 3)]
+    rows = [{"commit_id": f"{g:040x}", "commit": (" ".join(r.choice("fix the old parser bug".split()) for _ in range(4)), None, None, None, None), "src_datasets": [r.choice("stu")], "ingested_at": r.choice([None, *at])} for g in range(12) for _ in range(5)]
+    df = entries(spark, *rows)
+    trust = {"s": 2, "t": 1, "u": 2_147_483_647}
+    for row in representative.found(df, catalogue(spark)).where("field_name = 'message'").collect():
+        g = rows[row.entry_id - 1]["commit_id"]
+        mine = [(i + 1, x) for i, x in enumerate(rows) if x["commit_id"] == g]
+        order = sorted(mine, key=lambda m: (trust[m[1]["src_datasets"][0]], -(m[1]["ingested_at"] or datetime(1, 1, 1)).toordinal(), m[0]))
+        weight = {i: 2.0 ** -k for k, (i, _) in enumerate(order)}
+        votes = {}
+        for i, x in mine:
+            votes[x["commit"][0]] = votes.get(x["commit"][0], 0) + weight[i]
+        texts = list(votes)
+        winner = texts[consensus.closest(texts, [votes[t] for t in texts])]
+        assert rows[row.entry_id - 1]["commit"][0] == winner and row.entry_id == order[0][0]
