@@ -24,10 +24,12 @@ def repo_key(url: Column) -> Column:
     """``https://host/path`` in lower case: host without ``www.``, user, port; bare repository path.
 
     Scheme, scp form, escapes, ``.git``, trailing slashes, query, fragment and the pages of a web view are ignored.
-    NULL for NULL, blank text, text that names no host and path, and text of more than 2,048 characters.
+    NULL for NULL, blank text, text that names no host and path, and one whose part before query and fragment exceeds
+    2,048 characters, which no server takes for a path.
     """
-    url = F.when(F.length(url) <= 2048, url)
-    u = F.lower(F.regexp_replace(url, _EDGE, ""))
+    # What follows the path is cut off first, so that a URL is matched however long its query or fragment is.
+    path = F.split_part(F.split_part(F.regexp_replace(url, _EDGE, ""), F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1))
+    u = F.lower(F.regexp_replace(F.when(F.length(path) <= 2048, path), _EDGE, ""))
     u = F.when(u.contains("%"), F.lower(F.coalesce(F.try_url_decode(F.replace(u, F.lit("+"), F.lit("%2B"))), u))).otherwise(u)
     key = F.regexp_replace(u, _REPO, r"https://$1/$2")
     return F.when(url.rlike(_PLAIN), url).otherwise(F.when(key.rlike(_KEY), key))

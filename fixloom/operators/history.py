@@ -47,7 +47,7 @@ def fork_edges(forks: DataFrame) -> DataFrame:
     return rows.select(F.least("url", "other").alias("url1"), F.greatest("url", "other").alias("url2"), F.lit("github_fork").alias("method"), F.array().cast("array<string>").alias("commit_ids")).distinct()
 
 
-def components(edges: DataFrame, src: str = "url1", dst: str = "url2", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, src: str = "url1", dst: str = "url2") -> DataFrame:
     """``url, label`` by alternating star contraction; ``label`` is the smallest URL of the component.
 
     Each round links every neighbour larger than a vertex, then every smaller one, to its smallest neighbour, and
@@ -55,7 +55,7 @@ def components(edges: DataFrame, src: str = "url1", dst: str = "url2", rounds: i
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     cur, before = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star"), None
-    for _ in range(rounds):
+    while True:  # until a round changes nothing
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "star")

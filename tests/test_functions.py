@@ -87,3 +87,28 @@ def test_comments():
     assert comments.strip_comments(c, "c") == 'int a;\nchar *s = "// no"; int b;\n'
     assert comments.strip_comments('x = 1  # c\n# only\ns = "#no"\n"""doc # x"""\n', "python") == 'x = 1\ns = "#no"\n"""doc # x"""\n'
     assert comments.strip_comments("x", "cobol") is None and comments.strip_comments(None, "c") is None and comments.strip_comments("/* open", "c") == ""
+
+
+def test_long_queries_do_not_matter(spark):
+    from fixloom.functions.identity import repo_key
+
+    urls = {"https://f.example/A/b?" + "x" * 100_000: "https://f.example/a/b", "https://www.f.example/a/b.git#" + "/y" * 50_000: "https://f.example/a/b", "https://f.example/a/" + "p/" * 5_000: None, "https://f.example/a/b?x=%41": "https://f.example/a/b"}
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", repo_key(F.col("u")).alias("k")).collect()
+    assert {r.u: r.k for r in rows} == urls
+
+
+def test_commits_of_entries_by_join_or_broadcast(spark):
+    from fixloom.operators.commits import commit_entries
+
+    full = [f"{i % 40:07x}" + "a" * 32 + f"{i % 3}" for i in range(120)]
+    rows = [(i, f"https://f.example/o/r{i % 5}", full[i]) for i in range(120)] + [(1000 + i, f"https://f.example/o/r{i % 7}", full[i][: 7 + i % 12]) for i in range(120)] + [(2000, None, full[0][:9]), (2001, None, None), (2002, "https://f.example/o/r0", "n/a")]
+    df = spark.createDataFrame(rows, "entry_id long, project_url string, commit_id string")
+    want = set()
+    for i, url, c in rows:
+        if c in (None, "n/a"):
+            continue
+        hits = {c} if len(c) == 40 else {f for _, u, f in rows if f and len(f) == 40 and u == url and f.startswith(c)}
+        want |= {(i, h) for h in hits or {f"{url or ''}#{c}"}}
+    for few in (0, 10_000):
+        got = [tuple(r) for r in commit_entries(df, "entry_id", few=few).select("entry_id", "commit_of").collect()]
+        assert len(got) == len(want) and set(got) == want
