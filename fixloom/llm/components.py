@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from fixloom.operators.skew import salted_join
 from fixloom.runtime import written
 
-EDGES_PER_CELL = 400_000
+EDGES_PER_CELL, LEAST_PER_CELL = 400_000, 500
 
 
 def union_find(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
@@ -59,7 +59,7 @@ def _cells(edges: DataFrame, n: int, per_cell: int) -> tuple[DataFrame, int]:
     return placed, side * (side + 1) // 2 + sum(math.ceil(k / per_cell) for k in sizes.values())
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, per_cell: int = EDGES_PER_CELL) -> DataFrame:
+def connected_components(edges: DataFrame, src: str, dst: str, per_cell: int | None = None) -> DataFrame:
     """``vertex, root`` for every vertex that an edge links to another; ``root`` is the smallest vertex of its group.
 
     Vertices hash into blocks, an edge lies in the cell of its two blocks, so the edges of a hub with a third of all
@@ -68,7 +68,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, per_cell: int = E
     representatives from the cells of its row and column links them: these links are the next, smaller graph. When a
     graph fits one cell its parents are stable, and the rounds are followed back to the first vertices. Chains
     shrink by at least a third each round, so long ones need logarithmically many. Each round is a table in the
-    shared folder; only edge counts (and sizes of over-full cells) come to the driver.
+    shared folder; only edge counts (and sizes of over-full cells) come to the driver. A cell takes the edges of one
+    task (all edges over the parallelism of the session, between 500 and 400,000), if ``per_cell`` does not say otherwise.
 
     NULL ends and self links link nothing and are left out; repeated and turned edges count once. Strings compare by
     bytes. Empty input gives no rows.
@@ -78,6 +79,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, per_cell: int = E
     links = edges.select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v"), F.col(src).alias("_a"), F.col(dst).alias("_b"))
     links = written(links.where("_a IS NOT NULL AND _b IS NOT NULL AND u <> v").select("u", "v").distinct(), "edges")
     parents: list[DataFrame] = []
+    if per_cell is None:
+        per_cell = min(max(-(-links.count() // edges.sparkSession.sparkContext.defaultParallelism), LEAST_PER_CELL), EDGES_PER_CELL)
     while True:
         n = links.count()
         placed, cells = _cells(links, n, per_cell)
@@ -101,7 +104,7 @@ def _follow(parent: DataFrame, above: DataFrame) -> DataFrame:
     return joined.select("vertex", F.coalesce("root", "parent").alias("root"))
 
 
-def group_members(edges: DataFrame, src: str, dst: str, per_cell: int = EDGES_PER_CELL) -> DataFrame:
+def group_members(edges: DataFrame, src: str, dst: str, per_cell: int | None = None) -> DataFrame:
     """``group, member`` for each distinct non-NULL value of ``src`` or ``dst``, lone ones included."""
     ends = edges.select(F.explode(F.array(src, dst)).alias("member")).where(F.col("member").isNotNull()).distinct()
     roots = connected_components(edges, src, dst, per_cell)

@@ -6,21 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixloom.operators.commits import commit_entries
+from fixloom.operators.skew import hot_keys
+from fixloom.runtime import written
 
 
 def keyed(entries: DataFrame, train: str = "train", held_out: tuple[str, ...] = ("validation", "test")) -> DataFrame:
-    """``entry_id, split, src_datasets, commit_of, h``: entries of the named splits under their commit's hash."""
+    """``entry_id, split, src_datasets, commit_of, h``: entries of the named splits under their commit's hash, written once."""
     rows = commit_entries(entries, "entry_id", "split", "src_datasets").where(F.col("split").isin(train, *held_out))
-    return rows.withColumn("h", F.xxhash64("commit_of"))
+    return written(rows.withColumn("h", F.xxhash64("commit_of")), "overlap")
 
 
-def split_overlaps(entries: DataFrame, train: str = "train", held_out: tuple[str, ...] = ("validation", "test")) -> DataFrame:
+def commit_overlaps(entries: DataFrame, train: str = "train", held_out: tuple[str, ...] = ("validation", "test")) -> DataFrame:
+    """``commit_of, first_id, n_train, n_held``: a row for each commit that is in ``train`` and held out, however many
+    entries have it. The form for reports and removal at any size; ``split_overlaps`` lists the pairs themselves.
+    """
+    rows = keyed(entries, train, held_out)
+    held = F.col("split") != train
+    sums = rows.groupBy("h", "commit_of").agg(F.min("entry_id").alias("first_id"), F.sum((~held).cast("long")).alias("n_train"), F.sum(held.cast("long")).alias("n_held"))
+    return sums.where("n_train > 0 AND n_held > 0").select("commit_of", "first_id", "n_train", "n_held")
+
+
+def split_overlaps(entries: DataFrame, train: str = "train", held_out: tuple[str, ...] = ("validation", "test"), share: float = 0.002, salts: int = 32) -> DataFrame:
     """Each pair of entries of one commit, one in ``train`` and one held out: ``held_id, held_split, train_id``.
 
     Records are canonicalised (case, punctuation, white space, URL forms, shortened ids), hashed, and the held-out
     hashes joined with the training hashes; the canonical text is compared as well, so equal hashes of different
-    commits don't count. Both sides carry four narrow columns. A commit with very many entries makes one hash hot;
-    AQE splits that partition, since neither side is aggregated or sorted afterwards.
+    commits don't count. Both sides carry four narrow columns. A commit above ``share`` of the held-out entries is hot: its
+    held-out rows are split over ``salts`` tasks and meet its training rows in each.
 
     Entries without a commit id, or of another split (NULL included), give no pair; repeated rows give their own
     pairs; an ``entry_id`` of NULL is kept as NULL. Empty input gives no rows.
@@ -29,7 +41,13 @@ def split_overlaps(entries: DataFrame, train: str = "train", held_out: tuple[str
     rows = keyed(entries, train, held_out)
     held = rows.where(F.col("split") != train).select(*cols).toDF("h", "commit_of", "held_id", "held_split")
     base = rows.where(F.col("split") == train).select("h", "commit_of", "entry_id").toDF("h", "commit_of", "train_id")
-    return held.join(base, ["h", "commit_of"]).select("held_id", "held_split", "train_id")
+    hot = [r[0] for r in hot_keys(held, "h", share).select("h").collect()]  # 1/share at most
+    if hot:
+        of, all_ = F.col("h").isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))
+        held = held.withColumn("_salt", F.when(of, F.pmod(F.xxhash64("held_id"), F.lit(salts)).cast("int")).otherwise(0))
+        base = base.withColumn("_salt", F.explode(F.when(of, all_).otherwise(F.array(F.lit(0)))))
+    keys = ["h", "commit_of", *(["_salt"] if hot else [])]
+    return held.join(base, keys).select("held_id", "held_split", "train_id")
 
 
 def found(entries: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ __all__ = ["QUERIES", "SQL"]
 QUERIES = {
     "p1_found": lambda spark, d: overlap.found(table(spark, d, "entries")),
     "p1_report": lambda spark, d: overlap.overlap_report(table(spark, d, "entries")),
+    "p1_commits": lambda spark, d: overlap.commit_overlaps(table(spark, d, "entries")),
     "p3_found": lambda spark, d: components.group_members(table(spark, d, "relationship_edges"), "url1", "url2").toDF("group_url", "url"),
     "p3_sizes": lambda spark, d: components.group_report(table(spark, d, "relationship_edges"), "url1", "url2").toDF("group_url", "n_members"),
     "p5_found": lambda spark, d: representative.found(table(spark, d, "entries"), table(spark, d, "src_catalog")),
@@ -19,6 +20,8 @@ QUERIES = {
     "p6_collapsed": lambda spark, d: canonical.collapsed(table(spark, d, "raw_records")),
     "p7_found": lambda spark, d: splits.found(table(spark, d, "entries")),
     "p7_split": lambda spark, d: splits.grouped_split(table(spark, d, "entries")),
+    "p7_labels": lambda spark, d: splits.split_labels(table(spark, d, "entries")),
+    "p7_check": lambda spark, d: splits.split_check(table(spark, d, "entries")),
     "p8_pack": lambda spark, d: packing.packed(table(spark, d, "documents"), table(spark, d, "pack_targets")),
     "p8_fill": lambda spark, d: packing.fill_report(table(spark, d, "documents"), table(spark, d, "pack_targets")),
     "p8_check": lambda spark, d: packing.packing_check(table(spark, d, "documents"), table(spark, d, "pack_targets")),

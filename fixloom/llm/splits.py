@@ -13,15 +13,14 @@ from fixloom.runtime import written
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
-def project_groups(entries: DataFrame) -> DataFrame:
-    """``project, group_url`` for the projects that a shared commit links to another, directly or over others.
+def project_groups(keys: DataFrame) -> DataFrame:
+    """``project, group_url`` (from rows with ``project`` and ``c``, a full commit id) for the projects that a shared commit links to another, directly or over others.
 
     A shortened id counts only within its project, whose entries are together anyway, so full ids suffice. The
     distinct (project, commit) pairs are small next to the rows; a commit of many projects links each of them to
     its smallest, not to one another.
     """
-    pairs = entries.select(repo_key(F.col("project_url")).alias("project"), commit_key(F.col("commit_id")).alias("c"))
-    pairs = pairs.where("project IS NOT NULL AND length(c) = 40").distinct()
+    pairs = keys.where("project IS NOT NULL AND c IS NOT NULL").select("project", "c").distinct()
     shared = pairs.groupBy("c").agg(F.min("project").alias("first"), F.max("project").alias("last")).where("first <> last")
     edges = pairs.join(shared, "c").where("project <> first").select("first", "project").distinct()
     return connected_components(edges, "first", "project").toDF("project", "group_url")
@@ -33,17 +32,17 @@ def entry_groups(entries: DataFrame, *keep: str) -> DataFrame:
     An entry without a recognisable project but with a full commit id of a project's entries goes with them; else
     full ids of their own, and then each entry, form a group (``#`` and the id). Hot projects are salted.
     """
-    project, commit = repo_key(F.col("project_url")), commit_key(F.col("commit_id"))
-    rows = entries.select("entry_id", *keep, project.alias("project"), F.when(project.isNull() & (F.length(commit) == 40), commit).alias("c"))
-    groups = project_groups(entries)
-    named = salted_join(rows.where(F.col("project").isNotNull()).drop("c"), groups, "project", F.col("entry_id"))
+    commit = commit_key(F.col("commit_id"))
+    keys = written(entries.select("entry_id", *keep, repo_key(F.col("project_url")).alias("project"), F.when(F.length(commit) == 40, F.unhex(commit)).alias("c")), "keys")
+    groups = project_groups(keys)
+    named = salted_join(keys.where(F.col("project").isNotNull()).drop("c"), groups, "project", F.col("entry_id"))
     named = named.select("entry_id", *keep, F.coalesce("group_url", "project").alias("group_url"))
-    lost = rows.where(F.col("project").isNull())
+    lost = keys.where(F.col("project").isNull())
     if lost.isEmpty():
         return named
-    owners = entries.select(commit.alias("c"), project.alias("project")).where("length(c) = 40 AND project IS NOT NULL").groupBy("c").agg(F.min("project").alias("project"))
+    owners = keys.where("c IS NOT NULL AND project IS NOT NULL").join(lost.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("project").alias("project"))
     lost = lost.drop("project").join(owners, "c", "left").join(groups, "project", "left")
-    alone = F.concat(F.lit("#"), F.coalesce("c", F.concat(F.lit("entry "), F.coalesce(F.col("entry_id").cast("string"), F.lit("")))))
+    alone = F.concat(F.lit("#"), F.coalesce(F.lower(F.hex("c")), F.concat(F.lit("entry "), F.coalesce(F.col("entry_id").cast("string"), F.lit("")))))
     return named.unionByName(lost.select("entry_id", *keep, F.coalesce("group_url", "project", alone).alias("group_url")))
 
 
@@ -81,24 +80,41 @@ def place(units: list[tuple[dict[str, int], int]], shares: dict[str, float]) ->
     return out
 
 
+def labelled(rows: DataFrame, kept: int = 32, shared: int = 8) -> DataFrame:
+    """``group_url, label`` for each label of each entry (NULL: the entry itself): fix or other, and its sources.
+
+    The ``kept`` sources with most entries are labels of their own, all others share ``shared`` labels by hash, so there
+    are at most ``kept`` + ``shared`` + 2 labels however many sources report.
+    """
+    sources = F.array_distinct(F.coalesce("src_datasets", F.array().cast("array<string>")))
+    counts = rows.select(F.explode(sources).alias("s")).where("s IS NOT NULL").groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    own = sorted(r[0] for r in counts.orderBy(F.desc("n"), "s").limit(kept).collect())
+    source = lambda s: F.when(s.isin(own), F.concat(F.lit("src "), s)).otherwise(F.concat(F.lit("srcs "), F.pmod(F.xxhash64(F.coalesce(s, F.lit(""))), F.lit(shared)).cast("string")))
+    marks = F.concat(F.array(F.lit(None), F.when(F.col("is_vfc"), "fix").otherwise("other")), F.array_distinct(F.transform(sources, source)))
+    return rows.select("group_url", F.explode(marks).alias("label"))
+
+
 def grouped_split(entries: DataFrame, shares: dict[str, float] | None = None, buckets: int = 256, heavy: float = 0.002) -> DataFrame:
     """``entry_id, group_url, split``: no project, and no commit that several projects share, in two splits.
 
     1. Groups are components of projects and shared commits. 2. Each group's label vector (fixes, others, and each
-    source) is aggregated. 3. Groups above ``heavy`` of all rows, 1/heavy at most, are placed one by one; all others
-    are gathered by their rarest label into ``buckets`` hash buckets each, and a bucket is placed as one unit. So the
-    driver sees at most 1/heavy + buckets x labels sums however many groups there are, and every group is placed.
-    4. Groups get their split by a join; entries follow their group (salted).
+    source; see ``labelled``) is aggregated. 3. Groups above ``heavy`` of all rows, 1/heavy at most, are placed one by
+    one; all others are gathered by their rarest label into ``buckets`` hash buckets each, and a bucket is placed as
+    one unit. So the driver sees the sums of 1/heavy + 42 x ``buckets`` units and 42 labels at most, however many
+    groups there are, and every group is placed. 4. Groups get their split by a join; entries follow their group (salted).
 
-    Labels beyond 64 sources share a label by hash. Entries without project and commit are groups of their own.
+    Entries without project and commit are groups of their own. Empty input gives no rows.
     """
-    shares = shares or SPLITS
     rows = written(entry_groups(entries, "is_vfc", "src_datasets"), "grouped")
-    fix = F.when(F.col("is_vfc"), "fix").otherwise("other")
-    marks = F.concat(F.array(F.lit(None), fix), F.transform(F.coalesce(F.array_distinct("src_datasets"), F.array()), lambda s: F.concat(F.lit("src "), F.coalesce(s, F.lit("")))))
-    labels = rows.select("group_url", F.explode(marks).alias("label"))
+    placed = group_splits(rows, shares or SPLITS, buckets, heavy)
+    return salted_join(rows.select("entry_id", "group_url"), placed, "group_url", F.col("entry_id"), "inner").select("entry_id", "group_url", "split")
+
+
+def group_splits(rows: DataFrame, shares: dict[str, float], buckets: int, heavy: float) -> DataFrame:
+    """``group_url, split`` of each group of ``rows`` (``entry_id, group_url, is_vfc, src_datasets``)."""
+    labels = labelled(rows)
     vector = written(labels.groupBy("group_url", "label").agg(F.count(F.lit(1)).alias("m")).withColumn("n", F.when(F.col("label").isNull(), F.col("m")).otherwise(0)), "vectors")
-    names = vector.where("label IS NOT NULL").groupBy("label").agg(F.sum("m").alias("total")).orderBy("total").limit(67).collect()
+    names = vector.where("label IS NOT NULL").groupBy("label").agg(F.sum("m").alias("total")).orderBy("total", "label").collect()  # 42 at most
     rank = {r["label"]: i for i, r in enumerate(names)}
     ranks = F.create_map(*(F.lit(x) for kv in rank.items() for x in kv)) if rank else F.create_map(F.lit(""), F.lit(0))
     total = rows.count()
@@ -117,8 +133,38 @@ def grouped_split(entries: DataFrame, shares: dict[str, float] | None = None, bu
         units[r["unit"]] = (counts, n + r["n"])
     chosen = dict(zip(units, place(list(units.values()), shares), strict=True))
     table = rows.sparkSession.createDataFrame(list(chosen.items()), "unit string, split string")
-    placed = per_group.join(F.broadcast(table), "unit").select("group_url", "split")  # table: 1/heavy + buckets x labels rows at most
-    return salted_join(rows.select("entry_id", "group_url"), placed, "group_url", F.col("entry_id"), "inner").select("entry_id", "group_url", "split")
+    return per_group.join(F.broadcast(table), "unit").select("group_url", "split")  # table: a row for each unit
+
+
+def split_labels(entries: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
+    """``split, label, n, share``: the entries of each label in each split, and their share of the label's entries.
+
+    Label ``rows`` counts all entries. An entry of several sources counts for each.
+    """
+    rows = written(entry_groups(entries, "is_vfc", "src_datasets"), "grouped")
+    placed = group_splits(rows, shares or SPLITS, 256, 0.002)
+    vector = labelled(rows).groupBy("group_url", F.coalesce("label", F.lit("rows")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    sums = vector.join(placed, "group_url").groupBy("split", "label").agg(F.sum("n").alias("n"))
+    totals = sums.groupBy("label").agg(F.sum("n").alias("all"))  # 43 labels at most
+    return sums.join(F.broadcast(totals), "label").select("split", "label", "n", F.round(F.col("n") / F.col("all"), 4).alias("share"))
+
+
+def split_check(entries: DataFrame, shares: dict[str, float] | None = None, within: float = 0.02) -> DataFrame:
+    """One row: ``n_entries`` placed, ``n_projects`` and ``n_commits`` (of full ids) found in two splits, ``in_share``.
+
+    ``in_share``: every split holds its share of the rows, ``within`` so much of all.
+    """
+    shares = shares or SPLITS
+    commit = commit_key(F.col("commit_id"))
+    placed = written(grouped_split(entries, shares), "placed")
+    keys = entries.select("entry_id", repo_key(F.col("project_url")).alias("p"), F.when(F.length(commit) == 40, F.unhex(commit)).alias("c")).join(placed.select("entry_id", "split"), "entry_id")
+    keys = written(keys, "placed")
+    torn = lambda k: keys.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b").agg(F.lit(0).cast("long").alias("e"), *(F.count(F.lit(1)) * int(k == x) for x in "pc"), F.lit(True))
+    n = F.count(F.lit(1))
+    sizes = placed.agg(n.alias("n_entries"), *(F.abs(F.sum((F.col("split") == s).cast("long")) / n - share).alias(f"_{s}") for s, share in shares.items()))
+    near = F.greatest(*(F.coalesce(f"_{s}", F.lit(0.0)) for s in shares), F.lit(0.0)) <= within
+    parts = sizes.select("n_entries", F.lit(0), F.lit(0), near).union(torn("p")).union(torn("c")).toDF("n_entries", "n_projects", "n_commits", "in_share")
+    return parts.agg(*(F.sum(c).alias(c) for c in ("n_entries", "n_projects", "n_commits")), F.bool_and("in_share").alias("in_share"))
 
 
 def found(entries: DataFrame) -> DataFrame:

