@@ -128,7 +128,7 @@ def _cheapest(item: np.ndarray, text: np.ndarray) -> bool:
 
 
 def contains(item: np.ndarray, text: np.ndarray) -> bool:
-    """Whether ``text`` has a passage of the item. First one alignment, then, if that comes near, all of them."""
+    """Whether ``text`` has a passage of the item. First one alignment, and unless that shows one already, all of them."""
     n = len(item)
     if n < PASSAGE:
         return False
@@ -146,7 +146,7 @@ def contains(item: np.ndarray, text: np.ndarray) -> bool:
     cost = lost[j] - lost[i] + added[np.maximum(j - 1, 0)] - added[i]
     if (cost <= (j - i) * RATE).any():
         return True
-    return len(cost) > 0 and bool((cost - (j - i) * RATE).min() <= 6) and _cheapest(item, text)
+    return _cheapest(item, text)
 
 
 def _find(index: Index, coded: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -179,7 +179,8 @@ def _find(index: Index, coded: list[np.ndarray]) -> list[tuple[int, int]]:
             if sum(x in near for x in item[q : q + WINDOW].tolist()) < WINDOW - spare:
                 continue
             tried.add(mark)
-            slack = 8 + len(item) // 8
+            # Windows of one mark lie up to 15 words apart, and a passage of up to 75 words drifts by 7 and is 7 longer.
+            slack = 32
             if contains(item, text[max(p - q - slack, 0) : p - q + len(item) + slack]):
                 hits.add((d, k))
     return sorted(hits)

@@ -341,3 +341,33 @@ def test_ranked_rule_is_a_vote(spark):
         texts = list(votes)
         winner = texts[consensus.closest(texts, [votes[t] for t in texts])]
         assert rows[row.entry_id - 1]["commit"][0] == winner and row.entry_id == order[0][0]
+
+
+@pytest.mark.parametrize("kind", ["replaced", "added", "missing"])
+@pytest.mark.parametrize("tail", [False, True])
+def test_leakage_recall_of_the_shortest_passages(kind, tail):
+    """30 words of an item with three edits, the hardest case there is, in an even and in a heavy-tailed vocabulary.
+
+    A passage begins and ends with a word of the item; with three words missing it takes 33 of them.
+    """
+    r = random.Random(11)
+    weights = [1 / (i + 3) if tail else 1 for i in range(900)]
+    word = lambda: f"w{r.choices(range(900), weights)[0]}"
+    items = [(i, [word() for _ in range(100)]) for i in range(30)]
+    index, hit, tries = leakage.Index(items), 0, 200
+    for _ in range(tries):
+        k, at = r.randrange(30), r.randrange(60)
+        passage = list(items[k][1][at : at + 30])
+        places = sorted(r.sample(range(1, 29), 3), reverse=True)
+        for p in places:
+            if kind == "replaced":
+                passage[p] = "x" + word()
+            elif kind == "added":
+                passage.insert(p, word())
+            else:
+                del passage[p]
+        text = [word() for _ in range(40)] + passage + [word() for _ in range(40)]
+        coded = np.array([index.ids.get(w, 0) for w in text])
+        hit += (0, k) in leakage._find(index, [coded])
+    print(kind, tail, hit / tries)
+    assert hit >= 0.96 * tries
