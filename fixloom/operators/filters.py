@@ -55,11 +55,17 @@ def from_sources(entries: DataFrame, names: Iterable[str]) -> DataFrame:
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:
-    """All rows of all sources; ``_ord`` keeps the order of sources, then of rows (up to 2**40 rows a source)."""
-    out = None
-    for rank, df in enumerate(sources):
-        ranked = df.withColumn("_ord", F.lit(rank << 40).cast("long") + F.col("_ord"))
+    """All rows of all sources; ``_ord`` keeps the order of sources, then of rows, and no two rows share one.
+
+    Each source begins after the largest ``_ord`` of the one before it, whatever made these numbers (one aggregate over
+    one column a source). Columns that a source lacks are NULL; sources without rows take no room.
+    """
+    out, start = None, 0
+    for df in sources:
+        ranked = df.withColumn("_ord", F.lit(start).cast("long") + F.col("_ord"))
         out = ranked if out is None else out.unionByName(ranked, allowMissingColumns=True)
+        if df is not sources[-1]:
+            start += (df.agg(F.max("_ord")).first()[0] or 0) + 1
     return out
 
 

@@ -34,9 +34,9 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def related(spark, d) -> DataFrame:
-    """Projects of one owner on one host as related repositories; the first is canonical."""
-    urls = table(spark, d, "entries").select(F.col("project_url").alias("url")).where("project_url LIKE 'https://%/%/%'").distinct()
-    keyed = urls.withColumn("group_id", F.substring_index("url", "/", 4))
+    """Projects of one owner on one host as related repositories, however their URL is written; the first is canonical."""
+    urls = table(spark, d, "entries").select(F.col("project_url").alias("url")).distinct()
+    keyed = urls.withColumn("group_id", F.substring_index(repo_key(F.col("url")), "/", 4)).where("group_id IS NOT NULL")
     return keyed.join(keyed.groupBy("group_id").agg(F.min("url").alias("canonical_url"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "group_id").select("url", "group_id", "canonical_url")
 
 
@@ -163,7 +163,7 @@ def q_signature(spark, d):
 
 def q_union(spark, d):
     e = entries(spark, d)
-    both = filters.union_sources(e.where("split = 'test'"), e.where("split = 'train'").drop("ghsa_id"))
+    both = filters.union_sources(e.where("split = 'test'"), e.where("split = 'train'").drop("ghsa_id"), e.where("split NOT IN ('test', 'train') OR split IS NULL"))
     return both.select("entry_id", "project_url", "ghsa_id", F.col("_ord").alias("ord"))
 
 
@@ -226,13 +226,10 @@ def _merged(label: str) -> str:
 
 _FIRST_LABEL, _NONE = "arg_min(is_vfc, entry_id)", "CAST(NULL AS VARCHAR)"
 _AGREE = "HAVING count(*) = 1 OR bool_and(is_vfc) = bool_or(is_vfc)"
-_RELATED = """related AS (SELECT url, k.group_id, canonical_url FROM (SELECT DISTINCT project_url AS url, array_to_string(string_split(project_url, '/')[1:4], '/') AS group_id
- FROM entries WHERE project_url LIKE 'https://%/%/%') k JOIN (SELECT group_id, min(url) AS canonical_url FROM (SELECT DISTINCT project_url AS url,
- array_to_string(string_split(project_url, '/')[1:4], '/') AS group_id FROM entries WHERE project_url LIKE 'https://%/%/%') GROUP BY 1 HAVING count(*) > 1) c ON k.group_id = c.group_id)"""
-_HIST = """h0 AS (SELECT l_suppkey, l_partkey, max(l_shipdate) AS ts FROM lineitem WHERE (l_partkey * 7 + l_suppkey) % 5 = 0 GROUP BY 1, 2),
+_HIST = """h0 AS (SELECT l_suppkey, l_partkey, max(l_shipdate) AS ts FROM lineitem GROUP BY 1, 2),
 hist AS (SELECT concat('https://github.com/s/r', CAST(l_suppkey AS VARCHAR)) AS url, md5(CAST(l_partkey AS VARCHAR)) AS commit_id,
  CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY ts DESC, l_partkey) - 1 AS INT) AS pos, count(*) OVER (PARTITION BY l_suppkey) AS n FROM h0),
-samp AS (SELECT url, commit_id, pos FROM hist WHERE pos < 5 OR (n > 7 AND pos >= n - 7 AND pos < n - 2))"""
+samp AS (SELECT url, commit_id, pos FROM hist WHERE pos < 100 OR (n > 110 AND pos >= n - 110 AND pos < n - 10))"""
 COMPONENTS = """e2 AS (SELECT url1 AS a, url2 AS b FROM relationship_edges WHERE url1 <> url2 UNION SELECT url2, url1 FROM relationship_edges WHERE url1 <> url2),
 walk AS (SELECT a AS url, a AS label FROM e2 UNION SELECT e2.b, walk.label FROM walk JOIN e2 ON walk.url = e2.a),
 comp AS (SELECT url, min(label) AS label FROM walk GROUP BY 1)"""
@@ -248,6 +245,8 @@ KEY = r"""CASE WHEN regexp_matches({u}, '{r}') THEN regexp_replace({u}, '{r}', '
     r"(?:/-(?:/[^?#]*)?|/(?:tree|blob|commit|commits|raw|src|browse|log|diff|compare|releases|tags|issues|pull|pulls|merge_requests|wiki|archive)(?:/[^?#]*)?)?(?:\?[^#]*)?(?:#.*)?$",
 )
 URL_KEY = KEY.replace("{u}", "lower(url_decode(replace(regexp_replace(project_url, '^\\s+|\\s+$', '', 'g'), '+', '%2B')))")
+_RELATED = f"""keyed AS (SELECT DISTINCT project_url AS url, array_to_string(string_split({URL_KEY}, '/')[1:4], '/') AS group_id FROM entries),
+related AS (SELECT url, k.group_id, canonical_url FROM keyed k JOIN (SELECT group_id, min(url) AS canonical_url FROM keyed WHERE group_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1) c ON k.group_id = c.group_id)"""
 
 SQL = {
     "collapse_commit": f"SELECT project_url, commit_id, {_NONE} AS function_name, {_merged('bool_or(is_vfc)')} FROM entries e GROUP BY 1, 2",
@@ -262,7 +261,7 @@ SQL = {
     "moved_urls": "WITH m AS (SELECT url1, min(url2) AS new_url FROM relationship_edges WHERE method = 'github_fork' AND url2 IS NOT NULL GROUP BY 1) SELECT entry_id, coalesce(new_url, project_url) AS project_url FROM entries LEFT JOIN m ON project_url = url1",
     "unreachable_urls": "SELECT entry_id, project_url FROM entries e WHERE NOT EXISTS (SELECT 1 FROM (SELECT project_url AS u FROM documents WHERE project_url IS NOT NULL GROUP BY 1 HAVING count(*) % 2 = 0) g WHERE g.u = e.project_url)",
     "norm_ids": f"SELECT entry_id, coalesce(array_to_string(list_sort(list_distinct([upper(trim(v)) FOR v IN cve_ids IF regexp_full_match(upper(trim(v)), 'CVE-[0-9]{{4}}-[0-9]{{4,}}')])), '|'), '') AS cves, coalesce(array_to_string(list_sort(list_distinct([concat('CWE-', CAST(CAST(regexp_extract(trim(v), '^(?i:CWE-)?([0-9]{{1,4}})$', 1) AS INT) AS VARCHAR)) FOR v IN cwe_ids IF regexp_extract(trim(v), '^(?i:CWE-)?([0-9]{{1,4}})$', 1) <> ''])), '|'), '') AS cwes, CASE WHEN len([v FOR v IN cwe_ids IF map_contains({_OWASP}, v)]) > 0 THEN array_to_string(list_sort(list_distinct([CAST({_OWASP}[v] AS VARCHAR) FOR v IN cwe_ids IF map_contains({_OWASP}, v)])), '|') ELSE '0' END AS owasp FROM entries",
-    "norm_commit": r"WITH x AS (SELECT entry_id, regexp_replace(regexp_replace(regexp_replace(split_part(split_part(commit_id, '#', 1), '?', 1), '^\s+|\s+$', '', 'g'), '\.(?:patch|diff)$', ''), '[.,;]+$', '') AS c FROM entries WHERE NOT contains(commit_id, '/')) SELECT entry_id, CASE WHEN regexp_full_match(c, '[0-9a-fA-F]{5,40}') THEN lower(c) END AS commit_id FROM x",
+    "norm_commit": r"WITH x AS (SELECT entry_id, regexp_replace(regexp_replace(regexp_replace(split_part(split_part(commit_id, '#', 1), '?', 1), '^\s+|\s+$', '', 'g'), '\.(?:patch|diff)$', ''), '[.,;]+$', '') AS c FROM entries) SELECT entry_id, CASE WHEN regexp_full_match(c, '[0-9a-fA-F]{5,40}') THEN lower(c) ELSE nullif(lower(regexp_extract(c, '^https?://[^/]+/.*/commits?/([0-9a-fA-F]{5,40})(?:/.*)?$', 1)), '') END AS commit_id FROM x",
     "url_key": f"SELECT entry_id, {URL_KEY} AS project FROM entries",
     "temporal_split": "WITH x AS (SELECT entry_id AS ord, row_number() OVER (ORDER BY e.commit.committed_at, entry_id) - 1 AS r, count(*) OVER () AS n FROM entries e WHERE e.commit.committed_at IS NOT NULL) SELECT ord, CASE WHEN r < trunc(n * CAST(0.6 AS DOUBLE)) THEN 'train' WHEN r < trunc(n * CAST(0.6 AS DOUBLE)) + trunc(n * CAST(0.2 AS DOUBLE)) THEN 'validation' ELSE 'test' END AS split FROM x",
     "split_quality": "SELECT split, count(*) AS n, CAST(sum(CAST(is_vfc AS INT)) AS BIGINT) AS n_vfc, count(DISTINCT project_url) AS n_projects, round(avg(CAST(is_vfc AS DOUBLE)), 6) AS vfc_ratio FROM entries GROUP BY 1",
@@ -274,13 +273,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY src DESC, n DESC,
 SELECT label, CASE WHEN n > 0 THEN url ELSE first_src END AS canonical_url FROM r WHERE k = 1""",
     "extend_commit_ids": """WITH e AS (SELECT o_orderkey AS k, concat('https://github.com/o/r', CAST(o_custkey % 97 AS VARCHAR)) AS project_url, sha1(CAST(o_orderkey AS VARCHAR)) AS full_id FROM orders),
 s AS (SELECT k, project_url, substring(full_id, 1, CAST(5 + k % 8 AS INT)) AS commit_id FROM e),
-hit AS (SELECT s.project_url, s.commit_id, min(f.full_id) AS full_id FROM (SELECT DISTINCT project_url, commit_id FROM s) s JOIN (SELECT DISTINCT project_url, full_id FROM e WHERE k % 3 > 0) f ON s.project_url = f.project_url AND substring(f.full_id, 1, 5) = substring(s.commit_id, 1, 5) AND starts_with(f.full_id, s.commit_id) GROUP BY 1, 2 HAVING count(*) = 1)
+hit AS (SELECT s.project_url, s.commit_id, min(f.full_id) AS full_id FROM (SELECT DISTINCT project_url, commit_id FROM s) s JOIN (SELECT DISTINCT project_url, full_id FROM e) f ON s.project_url = f.project_url AND substring(f.full_id, 1, 5) = substring(s.commit_id, 1, 5) AND starts_with(f.full_id, s.commit_id) GROUP BY 1, 2 HAVING count(*) = 1)
 SELECT s.k, s.project_url, coalesce(h.full_id, s.commit_id) AS commit_id FROM s LEFT JOIN hit h ON s.project_url = h.project_url AND s.commit_id = h.commit_id""",
     "attach_commit_data": "WITH c AS (SELECT project_url, commit_id, arg_min(message, row_id) FILTER (message IS NOT NULL) AS m FROM commit_data GROUP BY 1, 2) SELECT entry_id, coalesce(e.commit.message, m) AS message, coalesce(array_to_string(e.commit.files_changed, '|'), '') AS files FROM entries e LEFT JOIN c ON e.project_url = c.project_url AND e.commit_id = c.commit_id",
     "files_from_diff": f"WITH x AS (SELECT entry_id, regexp_extract_all(e.commit.diff, {_HEADER}, 2) AS b FROM entries e) SELECT entry_id, coalesce(array_to_string(list_sort(list_distinct([substring(p, 3) FOR p IN b])), '|'), '') AS files FROM x",
     "git_show_parse": "SELECT o_orderkey, concat('order ', CAST(o_orderkey AS VARCHAR), chr(10), chr(10), o_orderpriority) AS message, epoch_us(date_trunc('second', o_orderdate)) AS authored_us, 'f.c' AS files FROM orders",
     "signature": f"WITH x AS (SELECT entry_id, project_url, e.commit.message AS m, e.commit.files_changed AS f, list_sort([p FOR p IN e.commit.files_changed IF lower(regexp_extract(p, '([^/]*)/*$', 1)) NOT IN ({_TEMPLATE})]) AS r FROM entries e) SELECT entry_id, CASE WHEN m IS NOT NULL THEN sha256(m || chr(10) || concat_ws('|', project_url, 'a@b', CAST(entry_id AS VARCHAR))) END AS content_hash, sha256(array_to_string(r, chr(10))) AS files_hash FROM x WHERE len(f) BETWEEN 2 AND 20 AND len(r) >= 2",
-    "union_sources": "SELECT entry_id, project_url, ghsa_id, entry_id AS ord FROM entries WHERE split = 'test' UNION ALL SELECT entry_id, project_url, NULL, 1099511627776 + entry_id FROM entries WHERE split = 'train'",
+    "union_sources": "WITH a AS (SELECT coalesce(max(entry_id), 0) + 1 AS k FROM entries WHERE split = 'test'), b AS (SELECT k + coalesce(max(entry_id), 0) + 1 AS k FROM entries, a WHERE split = 'train' GROUP BY a.k) SELECT entry_id, project_url, ghsa_id, entry_id AS ord FROM entries WHERE split = 'test' UNION ALL SELECT entry_id, project_url, NULL, k + entry_id FROM entries, a WHERE split = 'train' UNION ALL SELECT entry_id, project_url, ghsa_id, k + entry_id FROM entries, b WHERE split IS NULL OR split NOT IN ('test', 'train')",
     "variant_overlap": "SELECT entry_id FROM entries WHERE list_has_any(src_datasets, ['SecTrace', 'OpenMend'])",
     "history_sample": f"WITH {_HIST} SELECT url, commit_id, pos FROM samp",
     "shared_commits": f"WITH {_HIST} SELECT commit_id, array_to_string(list_sort(list(DISTINCT url)), '|') AS urls FROM samp GROUP BY 1 HAVING count(DISTINCT url) >= 2",
@@ -288,6 +287,6 @@ SELECT s.k, s.project_url, coalesce(h.full_id, s.commit_id) AS commit_id FROM s
 full_ AS (SELECT DISTINCT url, commit_id FROM hist), sz AS (SELECT url, count(*) AS n FROM full_ GROUP BY 1),
 s AS (SELECT url1, url2, count(*) AS n_shared FROM p JOIN full_ a ON a.url = url1 JOIN full_ b ON b.url = url2 AND a.commit_id = b.commit_id GROUP BY 1, 2)
 SELECT url1, url2, n_shared, round(n_shared / CAST(least(x.n, y.n) AS DOUBLE), 6) AS overlap FROM s JOIN sz x ON x.url = url1 JOIN sz y ON y.url = url2 WHERE n_shared / CAST(least(x.n, y.n) AS DOUBLE) >= 0.1""",
-    "commit_complete": "WITH x AS (SELECT entry_id, CASE WHEN length(e.commit.diff) <= 400 THEN e.commit.diff END AS diff, e.commit AS c FROM entries e) SELECT entry_id, (c.message IS NOT NULL AND diff IS NOT NULL AND c.authored_at IS NOT NULL AND c.committed_at IS NOT NULL AND len(c.files_changed) > 0) AS complete, CAST(length(diff) AS BIGINT) AS n_diff FROM x",
+    "commit_complete": "WITH x AS (SELECT entry_id, CASE WHEN length(e.commit.diff) <= 100000 THEN e.commit.diff END AS diff, e.commit AS c FROM entries e) SELECT entry_id, (c.message IS NOT NULL AND diff IS NOT NULL AND c.authored_at IS NOT NULL AND c.committed_at IS NOT NULL AND len(c.files_changed) > 0) AS complete, CAST(length(diff) AS BIGINT) AS n_diff FROM x",
     "clone_strategy": "SELECT project_url, count(DISTINCT commit_id) AS n_commits, CASE WHEN count(DISTINCT commit_id) >= 100 THEN 'FULL' ELSE 'PARTIAL' END AS strategy FROM entries GROUP BY 1",
 }

@@ -30,9 +30,14 @@ class Source:
     parse: Callable[..., DataFrame]
 
 
-def read_raw(spark: SparkSession, raw: Raw, path: str | list[str]) -> DataFrame:
-    """Rows of one input with ``_row``, their order within it (by file and position, as far as files keep one)."""
-    reader = spark.read.options(**raw.options)
+def read_raw(spark: SparkSession, raw: Raw, path: str | list[str], options: dict | None = None) -> DataFrame:
+    """Rows of one input with ``_row``, their order within it (by file and position, as far as files keep one).
+
+    ``options`` come before the input's own. A database table is named by ``path`` and reached by the option ``url``.
+    """
+    reader = spark.read.options(**(raw.options | (options or {})))
+    if raw.format == "jdbc" and "url" not in (options or {}):
+        raise ValueError("a database input needs the option url")
     if raw.format == "jdbc":
         df = reader.format("jdbc").option("dbtable", path).load()
     elif raw.format == "text":

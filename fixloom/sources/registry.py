@@ -42,7 +42,8 @@ def _message(text: Column, diff: Column | None = None, at: Column | None = None)
 
 
 def _both(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.withColumn("_row", C("_row") * 2).unionByName(b.withColumn("_row", C("_row") * 2 + 1), allowMissingColumns=True)
+    """All rows of ``a``, then all of ``b``: row numbers of a read stay below 2**56 (8 million partitions)."""
+    return a.unionByName(b.withColumn("_row", C("_row") + F.lit(1 << 56)), allowMissingColumns=True)
 
 
 def _bigvul(raw):
@@ -270,10 +271,14 @@ def sources() -> list[Source]:
     ]
 
 
-def load(spark: SparkSession, name: str, **paths: str | list[str]) -> DataFrame:
-    """Entries of a source from the paths of its inputs."""
+def load(spark: SparkSession, name: str, options: dict | None = None, **paths: str | list[str]) -> DataFrame:
+    """Entries of a source from the paths of its inputs, or from their tables where it is a database.
+
+    ``options`` go to the reader: ``{"url": "jdbc:...", "user": ...}`` for a database, with ``partitionColumn`` and the like
+    where its tables are large.
+    """
     source = {x.name: x for x in sources()}[name]
-    return source.parse(*(read_raw(spark, raw, paths[key]) for key, raw in source.inputs.items()))
+    return source.parse(*(read_raw(spark, raw, paths[key], options) for key, raw in source.inputs.items()))
 
 
 def parse(spark: SparkSession, name: str, **raw: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def test_filters(spark):
     moves = spark.createDataFrame([(URL, URL2)], "old_url string, new_url string")
     assert {r.project_url for r in filters.moved(df, moves).collect()} == {URL2}
     assert filters.reachable(df, spark.createDataFrame([(URL,)], "url string")).count() == 0
-    assert sorted(r._ord for r in filters.union_sources(df.limit(1), df.limit(1)).collect()) == [0, 1 << 40]
+    assert sorted(r._ord for r in filters.union_sources(df.limit(1), df.limit(1)).collect()) == [0, 1]  # after the largest of the source before
     total = {r.src_dataset: (r.total, r.with_diff, r.projects) for r in stats.dataset_stats(df).collect()}
     assert total == {"a": (3, 0, 1), "b": (1, 1, 1), "c": (1, 1, 1), "TOTAL": (4, 1, 1)}
 
@@ -134,3 +134,12 @@ def test_enrich(spark):
     assert [r.code for r in enrich.strip_code(blobs).orderBy("path").collect()] == ["int a;\n", "# t"]
     seen = enrich.fetch(entries(spark, {}, {}), lambda it: (b.assign(n=len(b)) for b in it), "project_url string, commit_id string, n long")
     assert seen.count() == 1
+
+
+def test_union_of_many_partitions(spark):
+    """Row numbers of 200 partitions and more: no two rows of a union share one, and sources keep their order."""
+    part = lambda: spark.range(400).repartition(250).select(F.col("id").cast("string").alias("project_url")).withColumn("_ord", F.monotonically_increasing_id())
+    a, b, none = part().withColumn("s", F.lit(0)), part().withColumn("s", F.lit(1)), part().withColumn("s", F.lit(2)).limit(0)
+    got = filters.union_sources(filters.union_sources(a, b), none, a.withColumn("s", F.lit(3))).select("s", "_ord").collect()
+    assert len(got) == 1200 and len({r["_ord"] for r in got}) == 1200
+    assert [r.s for r in sorted(got, key=lambda r: r["_ord"])] == [0] * 400 + [1] * 400 + [3] * 400

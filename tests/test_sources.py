@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import Row
 
 from fixloom import sinks
@@ -124,3 +125,21 @@ def test_streaming(spark, tmp_path):
     query.awaitTermination(120)
     assert [r.commit_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["abcdef1"]
     assert arrivals(incoming(spark, str(tmp_path / "in")).withColumn("at", __import__("pyspark").sql.functions.current_timestamp()), "at").isStreaming
+
+
+def test_a_database_source(spark, tmp_path):
+    """Tables of a database, over JDBC; the embedded one that Spark ships stands in."""
+    sha = "0123456789abcdef0123456789abcdef01234567"
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    tables = {
+        "commits_": spark.createDataFrame([(sha,), ("f" * 40,)], "hash string"),
+        "fixes_": spark.createDataFrame([("CVE-2020-0001", sha, "https://github.com/a/b", 70), ("CVE-2020-0002", "f" * 40, "https://github.com/a/b", 10)], "cve_id string, hash string, repo_url string, score int"),
+        "classes_": spark.createDataFrame([("CVE-2020-0001", "CWE-79")], "cve_id string, cwe_id string"),
+    }
+    for name, df in tables.items():
+        df.coalesce(1).write.format("jdbc").options(url=url, driver="org.apache.derby.jdbc.EmbeddedDriver").option("dbtable", name).save()
+    options = {"url": url, "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows = load(spark, "morefixes", options, commits="commits_", fixes="fixes_", classes="classes_").collect()
+    assert [(r.project_url, r.commit_id, r.cve_ids, r.cwe_ids) for r in rows] == [("https://github.com/a/b", sha, ["CVE-2020-0001"], ["CWE-79"])]
+    with pytest.raises(ValueError):
+        load(spark, "morefixes", commits="commits_", fixes="fixes_", classes="classes_")

@@ -8,7 +8,6 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from fixloom.llm import queries as llm
 from fixloom.operators import splits
 from fixloom.plans import curation
 
@@ -101,20 +100,3 @@ def test_no_move_or_swap_is_missed():
         gap = 0.37 * sum(n * k for n, k in groups.items()) - sum(n * k for n, k in taken.items())
         inside, outside = [0, *(n for n in groups if taken[n])], [0, *(n for n in groups if taken[n] < groups[n])]
         assert min(abs(gap - b + a) for a in inside for b in outside) >= abs(gap) - 1e-6
-
-
-def test_every_field_has_a_consensus(spark, tmp_path):
-    sha, t1, t2 = "0123456789abcdef0123456789abcdef01234567", datetime(2024, 1, 1), datetime(2024, 1, 2)
-    url = "https://f.example/a/b"
-    one, odd = ("fix the overflow", "+ a b c", ["a.c", "b.c"], t1, t2), ("zzz", "+ q", ["q.c"], t2, t1)
-    rows = [(1, url, sha, None, ["CVE-2020-0009"], ["u"], odd), (2, url, sha, None, ["CVE-2020-0001"], ["s", "t"], one), (3, url, sha, None, ["CVE-2020-0001"], ["t", "s"], one), (4, url, sha, "f", [], ["s"], one)]
-    empty = ("n/a", None, [], None, None)
-    rows += [(i, url, "f" * 40, None, None, ["s"], empty) for i in (5, 6)]
-    d = save(spark, tmp_path, "entries", [*rows, rows[1]], f"entry_id long, project_url string, commit_id string, function_name string, cve_ids array<string>, src_datasets array<string>, commit {COMMIT}")
-    save(spark, tmp_path, "src_catalog", [("s", 1), ("t", 1), ("u", 1)], "src_dataset string, trust int")
-    got = {r.first_id: r for r in llm.QUERIES["p5_consensus"](spark, d).collect()}
-    assert set(got) == {1, 5}
-    r = got[1]
-    assert (r.project_url, r.commit_id, r.function_name, r.cve_ids, sorted(r.src_datasets)) == (url, sha, None, ["CVE-2020-0001"], ["s", "t"])
-    assert (r.message, r.diff, r.files_changed, r.authored_at, r.committed_at) == one
-    assert (got[5].src_datasets, got[5].cve_ids, got[5].message, got[5].diff, got[5].authored_at) == (["s"], None, None, None, None)
