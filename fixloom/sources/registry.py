@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from email.errors import HeaderParseError
+from email.header import decode_header
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fixloom.functions import ids
+from fixloom.functions.giturl import https_url
 from fixloom.functions.commit_text import commit_of_diff, commit_of_show, commit_struct, comparable_diff, merge_commits
 from fixloom.sources.base import Raw, Source, array_of, entries_of, read_raw
 
@@ -124,10 +128,12 @@ def _morefixes(commits, fixes, classes):
 
 def _patchdb(name):
     def parse(raw):
-        known = raw.where("owner IS NOT NULL AND repo IS NOT NULL AND owner <> 'NA' AND repo <> 'NA'")
+        named = _named(DEVIGN, C("ori_dataset")) if "ori_dataset" in raw.columns else F.lit(None).cast("string")
+        own = F.when((C("owner") != "") & (C("repo") != "") & (C("owner") != "NA") & (C("repo") != "NA"), _repo(C("owner"), C("repo")))
+        known = raw.withColumn("_url", F.coalesce(named if name == "repospd" else F.lit(None), own)).where("_url IS NOT NULL")
         vfc = ~F.coalesce(C("category"), F.lit("")).contains("non-security") if name == "patchdb" else C("category") != "non-security"
-        known = known if name == "patchdb" else known.where("category IS NOT NULL")
-        return entries_of(known, name, ids.url_and_commit(_repo(C("owner"), C("repo")), F.split_part(F.trim("commit_id"), F.lit(" "), F.lit(1))), vfc, array_of(C("CVE_ID")), array_of(C("CWE_ID")), commit=commit_of_diff(C("diff_code")))
+        known = known if name == "patchdb" else known.where("category <> ''")
+        return entries_of(known, name, ids.url_and_commit(C("_url"), F.split_part(F.trim("commit_id"), F.lit(" "), F.lit(1))), vfc, array_of(C("CVE_ID")), array_of(C("CWE_ID")), commit=commit_of_diff(C("diff_code")))
 
     return parse
 
@@ -137,10 +143,44 @@ def _patcheval(raw):
     return entries_of(each, "patcheval", ids.url_and_commit(C("u")), cves=array_of(C("cve_id")), cwes=C("cwes"))
 
 
+def _decoded(subjects: pd.Series) -> pd.Series:
+    def one(text: str | None) -> str | None:
+        if not text or "=?" not in text:
+            return text
+        try:
+            return "".join(part.decode(charset or "utf-8", "replace") if isinstance(part, bytes) else part for part, charset in decode_header(text))
+        except (LookupError, ValueError, HeaderParseError):
+            return text
+
+    return subjects.map(one)
+
+
+def _subject_key(subject: Column) -> Column:
+    """A subject for comparison: decoded, without ``[tags]`` before it, ASCII alone, lower case, single spaces."""
+    text = F.when(F.contains(subject, F.lit("=?")), F.pandas_udf(_decoded, T.StringType())(subject)).otherwise(subject)
+    plain = F.regexp_replace(F.regexp_replace(F.trim(text), r"^(?:\s*\[[^\]]+\]\s*)+", ""), r"[^\x00-\x7F]", "")
+    return F.trim(F.regexp_replace(F.lower(plain), r"\s+", " "))
+
+
 def _pysecdb(raw, repos):
-    sha = F.lower(F.regexp_extract("content", r"(?i)^From\s+([0-9a-f]{5,40})\s+", 1))
-    rows = raw.withColumn("_sha", F.nullif(sha, F.lit(""))).where("_sha IS NOT NULL").join(repos.select(F.lower("sha").alias("_sha"), C("url").alias("_url")), "_sha")
-    rows = rows.groupBy("_sha").agg(F.min("_row").alias("_row"), F.min_by("_url", "_row").alias("_url"), F.min_by("label", F.when(C("label").isNotNull(), C("_row"))).alias("label"), F.min_by("CVE_ID", F.when(C("CVE_ID").isNotNull(), C("_row"))).alias("CVE_ID"))
+    """Mails of patches. ``repos`` are what a search for each commit gave: ``sha, url`` and, to tell hits apart, ``message, fork``.
+
+    A hit counts if its sha begins with the mail's and its first line agrees with the mail's subject (one begins the
+    other); originals go before forks, then the first.
+    """
+    head = F.array_join(F.slice(F.split("content", r"\r?\n"), 2, 512), "\n")
+    part = lambda pattern: F.nullif(F.trim(F.regexp_extract(head, pattern, 1)), F.lit(""))
+    sha = F.nullif(F.lower(F.regexp_extract("content", r"(?i)^\s*From\s+([0-9a-f]{5,40})\s+", 1)), F.lit(""))
+    mails = raw.withColumns({"_sha": sha, "_email": part(r"(?m)^From:\s+[^<]*<([^>]+)>"), "_user": part(r"(?m)^From:\s+(\w+)\s+<"), "_subject": part(r"(?m)^Subject:\s+(.*)$")}).where("_sha IS NOT NULL")
+    known = lambda c: F.min_by(c, F.when(C(c).isNotNull(), C("_row"))).alias(c)
+    mails = mails.groupBy("_sha").agg(F.min("_row").alias("_row"), *(known(c) for c in ("label", "CVE_ID", "_email", "_user", "_subject")))
+    lacks = {"message": F.lit(None).cast("string"), "fork": F.lit(None).cast("boolean")}
+    hits = repos.withColumns({c: v for c, v in lacks.items() if c not in repos.columns}).select(F.lower("sha").alias("_hit"), C("url").alias("_url"), "message", F.coalesce("fork", F.lit(False)).alias("_fork"), C("_row").alias("_at"))
+    pairs = mails.withColumn("_k", F.substring("_sha", 1, 5)).join(hits.withColumn("_k", F.substring("_hit", 1, 5)), "_k").where(F.expr("startswith(_hit, _sha)"))
+    if "message" in repos.columns:
+        line, subject = _subject_key(F.trim(F.split_part("message", F.lit("\n"), F.lit(1)))), _subject_key(C("_subject"))
+        pairs = pairs.withColumns({"_line": line, "_want": subject}).where("message <> '' AND (_want IS NULL OR _want = '' OR startswith(_line, _want) OR startswith(_want, _line))")
+    rows = pairs.groupBy("_sha").agg(F.min_by("_url", F.struct("_fork", "_at")).alias("_url"), *(F.first(c).alias(c) for c in ("_row", "label", "CVE_ID")))
     return entries_of(rows, "pysecdb", ids.url_and_commit(C("_url"), C("_sha")), C("label") == "security", array_of(C("CVE_ID")))
 
 
@@ -183,9 +223,26 @@ def _hex(number: Column) -> Column:
     return F.pandas_udf(_digits_to_hex, T.StringType())(number)
 
 
+# Commits of one project name that belong to another repository than its others (fixed values).
+DIVERSEVUL = {
+    ("profanity", GITHUB + "johguse/profanity"): ["69ff010c14ff80ec14246772db6a245aa59e6689"],
+    ("librsvg", GITHUB + "gnome/librsvg"): [
+        "34c95743ca692ea0e44778e41a7c0a129363de84", "d83e426fff3f6d0fa6042d0930fb70357db24125", "f01aded72c38f0e18bc7ff67dee800e380251c8e",
+        "40af93e6eb1c94b90c3b9a0b87e0840e126bb8df", "a51919f7e1ca9c535390a746fbf6e28c8402dc61", "d1c9191949747f6dcfd207831d15dd4ba00e31f2",
+        "0035e95118a60c0cd3949c2300472d805e16a022", "ecf9267a24b2c3c0cd211dbdfa9ef2232511972a", "572f95f739529b865e2717664d6fefcef9493135",
+    ],
+}
+
+
 def _diversevul(raw, projects):
-    df = raw.join(projects.select("project", "url").groupBy("project").agg(F.min("url").alias("_url")), "project", "left")
-    return entries_of(df, "diversevul", ids.url_and_commit(C("_url"), C("commit_id")), C("target") == 1, cwes=C("cwe"), name=_hex(C("hash")), commit=_message(C("message")))
+    first = projects.groupBy(F.lower("project").alias("_project")).agg(F.min_by("url", "_row").alias("_listed"))
+    df = raw.withColumn("_project", F.lower("project")).join(first, "_project", "left")
+    commit, special = ids.commit_id(C("commit_id")), F.lit(None).cast("string")
+    for (project, url), commits in DIVERSEVUL.items():
+        special = F.coalesce(special, F.when((C("_project") == project) & commit.isin(commits), F.lit(url)))
+    name = F.when(C("hash").rlike(r"^\s*[0-9]+\s*$"), _hex(C("hash"))).otherwise(F.nullif("hash", F.lit("")))
+    df = df.withColumns({"_url": F.coalesce(special, "_listed"), "_name": name}).where("_name IS NOT NULL")
+    return entries_of(df, "diversevul", ids.url_and_commit(C("_url"), C("commit_id")), C("target") == 1, cwes=C("cwe"), name=C("_name"), commit=_message(C("message")))
 
 
 def _icvul(mapping, commits, functions):
@@ -203,9 +260,18 @@ def _megavul(first, second):
     return entries_of(df, "megavul", ids.url_and_commit(url, C("commit_hash")), C("is_vul"), array_of(C("cve_id")), C("cwe_ids"), C("func_name"), C("file_path"))
 
 
-def _primevul(raw):
-    url = F.coalesce(F.when(C("project_url") != "None", C("project_url")), F.when(C("commit_url") != "None", C("commit_url")), _named(PRIMEVUL, C("project")))
-    return entries_of(raw, "primevul", ids.url_and_commit(url, C("commit_id")), C("target") == 1, array_of(C("cve")), C("cwe"), C("func_hash"))
+def _primevul(raw, moved=None):
+    """``moved`` (``old_url, new_url``) holds for the candidates that stand in for a missing URL, as written and normalised."""
+    given = F.when(~F.trim("project_url").isin("None", ""), C("project_url"))
+    real = lambda c: F.when(~F.lower(F.trim(c)).isin("none", ""), F.trim(c))
+    df = raw.withColumns({"_0": real(C("project_url")), "_1": real(C("commit_url")), "_2": _named(PRIMEVUL, C("project"))})
+    for c in ("_0", "_1", "_2"):
+        for _ in range(2) if moved is not None else ():
+            new = moved.groupBy(C("old_url").alias(c)).agg(F.min("new_url").alias("_new"))
+            df = df.join(new, c, "left").withColumn(c, https_url(F.coalesce("_new", c))).drop("_new")
+        df = df if moved is not None else df.withColumn(c, https_url(C(c)))
+    url = F.coalesce(given, "_0", "_1", "_2")
+    return entries_of(df.withColumn("_url", url), "primevul", ids.url_and_commit(C("_url"), C("commit_id")), C("target") == 1, array_of(C("cve")), C("cwe"), C("func_hash"))
 
 
 def _secvuleval(raw):
@@ -254,7 +320,7 @@ def sources() -> list[Source]:
         s("patchdb", "commit", _patchdb("patchdb"), raw=Raw("json", _PATCH)),
         s("patcheval", "commit", _patcheval, raw=Raw("json", "cve_id string, patch_url array<string>, cwe_info map<string, string>")),
         s("pysecdb", "commit", _pysecdb, raw=Raw("json", "content string, label string, CVE_ID string"), repos=Raw("parquet")),
-        s("repospd", "commit", _patchdb("repospd"), raw=Raw("jsonl", _PATCH)),
+        s("repospd", "commit", _patchdb("repospd"), raw=Raw("jsonl", _PATCH + ", ori_dataset string")),
         s("secbench", "commit", _plain("secbench", _repo(C("owner"), C("project")), C("sha"), cves=cve, cwes=cwe), raw=_csv("owner string, project string, sha string, cve_id string, cwe_id string")),
         s("spidb", "commit", _spidb, first=_SPI, second=_SPI, history=Raw("parquet")),
         s("tracer", "commit", _tracer, raw=_csv("cve string, github_commit string, other_platform_git_commit string")),
@@ -265,7 +331,7 @@ def sources() -> list[Source]:
         s("diversevul", "function", _diversevul, raw=Raw("jsonl", "commit_id string, project string, hash string, target int, cwe array<string>, message string"), projects=Raw("parquet")),
         s("icvul", "function", _icvul, mapping=_csv("fc_hash string, repo_url string, cve_id string, cwe_id string"), commits=_csv("hash string, msg string, author_date string"), functions=_csv("hash string, name string, filename string, start_line int, end_line int, before_change boolean")),
         s("megavul", "function", _megavul, first=_MEGA, second=_MEGA),
-        s("primevul", "function", _primevul, raw=Raw("jsonl", "project_url string, commit_url string, project string, commit_id string, func_hash string, target int, cve string, cwe array<string>")),
+        s("primevul", "function", _primevul, raw=Raw("jsonl", "project_url string, commit_url string, project string, commit_id string, func_hash string, target int, cve string, cwe array<string>"), moved=Raw("parquet")),
         s("secvuleval", "function", _secvuleval, raw=Raw("parquet")),
         s("sven", "function", _sven, raw=Raw("jsonl", "commit_link string, func_name string, file_name string, vul_type string")),
     ]
@@ -278,11 +344,11 @@ def load(spark: SparkSession, name: str, options: dict | None = None, **paths: s
     where its tables are large.
     """
     source = {x.name: x for x in sources()}[name]
-    return source.parse(*(read_raw(spark, raw, paths[key], options) for key, raw in source.inputs.items()))
+    return source.parse(**{key: read_raw(spark, raw, paths[key], options) for key, raw in source.inputs.items() if key in paths})
 
 
 def parse(spark: SparkSession, name: str, **raw: DataFrame) -> DataFrame:
     """Entries of a source from raw rows; ``_row`` is added where it is missing."""
     source = {x.name: x for x in sources()}[name]
     given = {k: df if "_row" in df.columns else df.withColumn("_row", F.monotonically_increasing_id()) for k, df in raw.items()}
-    return source.parse(*(given[key] for key in source.inputs))
+    return source.parse(**{key: given[key] for key in source.inputs if key in given})

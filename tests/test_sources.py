@@ -143,3 +143,27 @@ def test_a_database_source(spark, tmp_path):
     assert [(r.project_url, r.commit_id, r.cve_ids, r.cwe_ids) for r in rows] == [("https://github.com/a/b", sha, ["CVE-2020-0001"], ["CWE-79"])]
     with pytest.raises(ValueError):
         load(spark, "morefixes", commits="commits_", fixes="fixes_", classes="classes_")
+
+
+def test_projects_of_mails(spark):
+    """A mail's repository: the hit whose first line agrees with the subject, an original before a fork."""
+    mail = lambda sha, subject, label="security": (f"From {sha} Mon Sep 17 00:00:00 2001\nFrom: Ann Bee <ann@b.example>\nSubject: {subject}\n\ntext", label, "CVE-2020-1234")
+    raw = frame(spark, "content string, label string, CVE_ID string", mail("a" * 40, "[PATCH] Fix  the Überflow"), mail("b" * 7, "=?utf-8?q?Fix_b?="), mail("c" * 40, "other"), ("no mail", "security", None))
+    hits = [("a" * 40, "https://github.com/fork/r", "fix the berflow in x\n\nmore", True), ("a" * 40, "https://github.com/o/r", "[tag] Fix the flow", False), ("a" * 40, "https://github.com/real/r", "Fix the berflow", False),
+            ("B" * 40, "https://github.com/o/b", "fix b", True), ("c" * 40, "https://github.com/o/c", "nothing like it", False), ("c" * 40, "https://github.com/o/c2", "", False)]
+    rows = got(parse(spark, "pysecdb", raw=raw, repos=frame(spark, "sha string, url string, message string, fork boolean", *hits)))
+    assert rows == [("https://github.com/o/b", "b" * 7, True), ("https://github.com/real/r", "a" * 40, True)]
+
+
+def test_projects_by_name(spark):
+    patch = "owner string, repo string, commit_id string, category string, CVE_ID string, CWE_ID string, diff_code string, ori_dataset string"
+    rows = [(None, None, SHA, "security", None, None, None, "qemu"), ("o", "r", SHA, "", None, None, None, "other"), ("", "r", SHA, "security", None, None, None, None)]
+    assert got(parse(spark, "repospd", raw=frame(spark, patch, *rows))) == [("https://github.com/qemu/qemu", SHA, True)]
+    diverse = [(c, p, h, 1, [], "m") for c, p, h in ((SHA, "LibRSVG", "255"), ("34c95743ca692ea0e44778e41a7c0a129363de84", "librsvg", "ff"), (SHA, "none", "1"), (SHA, "librsvg", ""))]
+    urls = frame(spark, "project string, url string, _row long", ("librsvg", "https://gitlab.gnome.org/GNOME/librsvg", 1), ("librsvg", "https://a.example/first", 2))
+    out = parse(spark, "diversevul", raw=frame(spark, "commit_id string, project string, hash string, target int, cwe array<string>, message string", *diverse), projects=urls).collect()
+    assert sorted((r.project_url, r.function_name) for r in out) == [("https://github.com/gnome/librsvg", "ff"), ("https://gitlab.gnome.org/GNOME/librsvg", "ff")]
+    prime = "project_url string, commit_url string, project string, commit_id string, func_hash string, target int, cve string, cwe array<string>"
+    raw = frame(spark, prime, ("None", "https://old.example/a/b.git", None, SHA, "h", 1, None, []), (None, "none", "binaryen", SHA, "h", 0, None, []), ("https://github.com/o/r", U, None, SHA, "h", 0, None, []))
+    moved = frame(spark, "old_url string, new_url string", ("https://old.example/a/b.git", "https://mid.example/a/b"), ("https://mid.example/a/b", "https://github.com/New/b"), ("https://github.com/o/r", "https://x.example/y/z"))
+    assert got(parse(spark, "primevul", raw=raw, moved=moved)) == [("https://github.com/new/b", SHA, True), ("https://github.com/o/r", SHA, False), ("https://github.com/webassembly/binaryen", SHA, False)]
