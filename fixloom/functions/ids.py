@@ -24,14 +24,15 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+\z", "")
 
 
-def commit_id(text: Column) -> Column:
+def commit_id(text: Column, urls: bool = True) -> Column:
     """A commit id out of an id or a commit URL: 5 to 40 hex digits in lower case, or what the URL names; else NULL.
 
-    Fragment, then query, then one ``.patch`` or ``.diff``, then trailing ``.,;`` are cut off.
+    Fragment, then query, then one ``.patch`` or ``.diff``, then trailing ``.,;`` are cut off. Without ``urls``, for a
+    text that is no URL, the plan is much smaller.
     """
     core = strip(F.split_part(F.split_part(text, F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1)))
     core = F.regexp_replace(F.regexp_replace(core, r"\.(?:patch|diff)$", ""), r"[.,;]+$", "")
-    return let(core, lambda c: F.when(c == "", F.lit(None)).when(c.rlike("^[0-9a-fA-F]{5,40}\\z"), F.lower(c)).otherwise(git_url(c)["commit_id"]))
+    return let(core, lambda c: F.when(c == "", F.lit(None)).when(c.rlike("^[0-9a-fA-F]{5,40}\\z"), F.lower(c)).otherwise(git_url(c)["commit_id"] if urls else F.lit(None)))
 
 
 def pinned(project: Column, ref: Column) -> Column:
@@ -53,7 +54,7 @@ def url_and_commit(url: Column, commit: Column | None = None) -> Column:
     """``struct<project_url, commit_id>``: the commit from its own column, else from the URL, pinned ones included."""
     def pick(g: Column) -> Column:
         own = F.lit(None).cast("string") if commit is None else F.coalesce(commit_id(commit), pinned(g["https"], commit))
-        return F.struct(g["https"].alias("project_url"), F.coalesce(own, commit_id(g["commit_id"]), pinned(g["https"], g["commit_id"])).alias("commit_id"))
+        return F.struct(g["https"].alias("project_url"), F.coalesce(own, commit_id(g["commit_id"], urls=False), pinned(g["https"], g["commit_id"])).alias("commit_id"))
 
     return let(git_url(url), pick)
 

@@ -5,10 +5,10 @@ import os
 import pytest
 
 from compare import connect, differences
-from fixloom.plans import curation, general
+from fixloom.plans import curation, general, origins
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = general.QUERIES | curation.QUERIES, general.SQL | curation.SQL
+QUERIES, SQL = general.QUERIES | curation.QUERIES | origins.QUERIES, general.SQL | curation.SQL | origins.SQL
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 
 
