@@ -6,6 +6,7 @@ import html
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -127,26 +128,54 @@ def _cheapest(item: np.ndarray, text: np.ndarray) -> bool:
     return False
 
 
+@lru_cache(maxsize=256)
+def _spans(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n + 1, PASSAGE)
+
+
 def contains(item: np.ndarray, text: np.ndarray) -> bool:
-    """Whether ``text`` has a passage of the item. First one alignment, and unless that shows one already, all of them."""
+    """Whether ``text`` has a passage of the item.
+
+    Words of the item that the text lacks cost an edit each, so a span with too many of them is no passage, and if no
+    span is left there is none. Then one alignment, and unless that shows a passage already, all of them.
+    """
     n = len(item)
-    if n < PASSAGE:
+    if n < PASSAGE or not len(text):
+        return False
+    i, j = _spans(n)
+    room = (j - i) * RATE
+    absent = np.concatenate([[0], np.cumsum(~np.isin(item, text))])
+    if not (absent[j] - absent[i] <= room).any():
         return False
     missing, extra = np.ones(n, np.int64), np.zeros(n + 1, np.int64)
     last_i = last_t = 0
-    for i, t, size in SequenceMatcher(None, item.tolist(), text.tolist(), autojunk=False).get_matching_blocks():
-        if size and i:
-            extra[i] += max((t - last_t) - (i - last_i), 0) if last_i else 0
-        missing[i : i + size] = 0
-        last_i, last_t = i + size, t + size
+    for at, t, size in SequenceMatcher(None, item.tolist(), text.tolist(), autojunk=False).get_matching_blocks():
+        if size and at:
+            extra[at] += max((t - last_t) - (at - last_i), 0) if last_i else 0
+        missing[at : at + size] = 0
+        last_i, last_t = at + size, t + size
     lost, added = np.concatenate([[0], np.cumsum(missing)]), np.cumsum(extra)
-    i, j = np.triu_indices(n + 1, PASSAGE)
     whole = (missing[i] == 0) & (missing[j - 1] == 0)  # a passage begins and ends with a word of the item
-    i, j = i[whole], j[whole]
     cost = lost[j] - lost[i] + added[np.maximum(j - 1, 0)] - added[i]
-    if (cost <= (j - i) * RATE).any():
-        return True
-    return _cheapest(item, text)
+    return bool((whole & (cost <= room)).any()) or _cheapest(item, text)
+
+
+def _near(index: Index, pairs: np.ndarray, coded: list[np.ndarray], owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which (window, item window) pairs share enough words, those around the window in the text included."""
+    spare = int(PASSAGE * RATE)
+    edge = WINDOW + 2 * spare
+    text = np.concatenate([np.concatenate([np.full(spare, -1), coded[d], np.full(edge, -1)]) for d in range(len(coded))])
+    start = np.concatenate([[0], np.cumsum([len(c) + spare + edge for c in coded])[:-1]])
+    out = np.empty(len(pairs), bool)
+    words_of = np.concatenate([*index.coded, np.zeros(1, np.int64)])
+    begin = np.concatenate([[0], np.cumsum([len(c) for c in index.coded])])
+    for a in range(0, len(pairs), 20_000):
+        r, w = pairs[a : a + 20_000].T
+        around = text[(start[owner[r]] + place[r])[:, None] + np.arange(edge)]
+        k, q = index.where[w].T
+        mine = words_of[(begin[k] + q)[:, None] + np.arange(WINDOW)]
+        out[a : a + 20_000] = (mine[:, :, None] == around[:, None, :]).any(axis=2).sum(axis=1) >= WINDOW - spare
+    return out
 
 
 def _find(index: Index, coded: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -165,24 +194,22 @@ def _find(index: Index, coded: list[np.ndarray]) -> list[tuple[int, int]]:
     if not rows:
         return []
     rows, owner, place = np.concatenate(rows), np.concatenate(owner), np.concatenate(place)
-    tried: set[tuple[int, int, int]] = set()
     hits: set[tuple[int, int]] = set()
-    for start in range(0, len(rows), 100_000):
-        for r, w in index.candidates(rows[start : start + 100_000]).tolist():
-            d, p = int(owner[start + r]), int(place[start + r])
-            k, q = index.where[w].tolist()
-            mark = (d, k, (p - q) // 16)
-            if mark in tried or (d, k) in hits:
-                continue
-            item, text = index.coded[k], coded[d]
-            near = set(text[max(p - spare, 0) : p + WINDOW + spare].tolist())
-            if sum(x in near for x in item[q : q + WINDOW].tolist()) < WINDOW - spare:
-                continue
-            tried.add(mark)
-            # Windows of one mark lie up to 15 words apart, and a passage of up to 75 words drifts by 7 and is 7 longer.
-            slack = 32
-            if contains(item, text[max(p - q - slack, 0) : p - q + len(item) + slack]):
-                hits.add((d, k))
+    marks = []
+    for begin in range(0, len(rows), 100_000):
+        pairs = index.candidates(rows[begin : begin + 100_000])
+        pairs[:, 0] += begin
+        pairs = pairs[_near(index, pairs, coded, owner, place)] if len(pairs) else pairs
+        k, q = index.where[pairs[:, 1]].T if len(pairs) else np.zeros((2, 0), np.int64)
+        p = place[pairs[:, 0]]
+        # Windows of one mark lie up to 15 words apart, and a passage of up to 75 words drifts by 7 and is 7 longer.
+        marks.append(np.stack([owner[pairs[:, 0]], k, (p - q) // 16, p - q], axis=1))
+    found = np.concatenate(marks)
+    _, first = np.unique(found[:, :3], axis=0, return_index=True)
+    for d, k, _, shift in found[np.sort(first)].tolist():
+        item, slack = index.coded[k], 32
+        if (d, k) not in hits and contains(item, coded[d][max(shift - slack, 0) : shift + len(item) + slack]):
+            hits.add((d, k))
     return sorted(hits)
 
 
