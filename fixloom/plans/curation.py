@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from fixloom.functions import commit_text, ids, owasp, paths
 from fixloom.functions.giturl import git_url
-from fixloom.functions.identity import repo_key
-from fixloom.operators import enrich, filters, history, merge, splits, stats
+from fixloom.functions.identity import commit_key, repo_key
+from fixloom.operators import enrich, filters, history, merge, relationships, splits, stats
 from fixloom.plans.tables import table
 
 
@@ -189,6 +189,80 @@ def q_complete(spark, d):
     return b.select("entry_id", commit_text.is_complete(F.col("commit")).alias("complete"), F.length("commit.diff").cast("long").alias("n_diff"))
 
 
+def commits_of(spark, d) -> DataFrame:
+    """``url, commit_id, at, content_hash, files_hash``: commits of clean projects among the entries, hashes of substantial ones."""
+    c = F.col("commit")
+    sig = commit_text.signature(c["message"], F.lit("a"), F.lit("a@b"), F.lit(0), c["files_changed"])
+    rows = table(spark, d, "entries").select(repo_key(F.col("project_url")).alias("url"), commit_key(F.col("commit_id")).alias("commit_id"), c["committed_at"].alias("at"), sig.alias("s"))
+    rows = rows.where("url IS NOT NULL AND length(commit_id) = 40")
+    return rows.groupBy("url", "commit_id").agg(F.max("at").alias("at"), F.min("s.content_hash").alias("content_hash"), F.min("s.files_hash").alias("files_hash"))
+
+
+def _discovered(spark, d):
+    commits = commits_of(spark, d)
+    pos = F.row_number().over(Window.partitionBy("url").orderBy(F.desc_nulls_last("at"), "commit_id")) - 1
+    forks = table(spark, d, "relationship_edges").where("method = 'github_fork'").select(F.col("url1").alias("url"), F.col("url2").alias("parent"), F.col("url2").alias("source"))
+    return relationships.discover(commits.select("url", "commit_id", pos.alias("pos")), commits.where("files_hash IS NOT NULL"), forks)
+
+
+def q_discover_groups(spark, d):
+    groups, _, _ = _discovered(spark, d)
+    return groups.select("group_id", "canonical_url", F.array_join("project_urls", "|").alias("urls"), F.array_join("detection_methods", "|").alias("methods"), "n_links")
+
+
+def q_local_edges(spark, d):
+    _, _, edges = _discovered(spark, d)
+    return edges.where("method = 'local_history'").select("url1", "url2", F.array_join("commit_ids", "|").alias("commits"))
+
+
+def _of_edges(spark, d):
+    edges, e = table(spark, d, "relationship_edges"), table(spark, d, "entries")
+    counts = e.groupBy(F.col("project_url").alias("url")).agg(F.countDistinct("commit_id").alias("n"))
+    return edges, relationships.groups_of_edges(edges, edges.where("method = 'github_fork'").select(F.col("url1").alias("url")), counts)
+
+
+def q_group_of(spark, d):
+    _, (_, members) = _of_edges(spark, d)
+    return relationships.group_of(table(spark, d, "entries").select("entry_id", F.col("project_url").alias("url")), members)
+
+
+def q_are_related(spark, d):
+    edges, (_, members) = _of_edges(spark, d)
+    return relationships.are_related(edges.select("edge_id", F.col("url1"), F.coalesce("url2", F.lit("none")).alias("url2")), members)
+
+
+def q_revalidated(spark, d):
+    edges, (_, members) = _of_edges(spark, d)
+    return relationships.revalidated(members, edges, commits_of(spark, d).where("content_hash IS NOT NULL"))
+
+
+def q_split_groups(spark, d):
+    return stats.split_groups(entries(spark, d), related(spark, d), "split")
+
+
+def q_split_scores(spark, d):
+    scores = splits.split_scores(q_split_groups(spark, d))
+    return scores.select(*(F.round(c, 6).alias(c) for c in scores.columns))
+
+
+def q_top_splits(spark, d):
+    scores, _ = splits.top_splits(stats.split_groups(entries(spark, d), related(spark, d)))
+    return scores.select("seed", *(F.round(c, 6).alias(c) for c in scores.columns if c != "seed"))
+
+
+def q_top_splits_check(spark, d):
+    """What must hold of each of the best splits: every group once, every entry, rows within a point of their share."""
+    sizes = stats.split_groups(entries(spark, d), related(spark, d))
+    _, placed = splits.top_splits(sizes)
+    rows = placed.join(sizes, "group_key").groupBy("seed").agg(F.count(F.lit(1)).alias("n_groups"), F.countDistinct("group_key").alias("n_distinct"), F.sum("n").alias("n"), *(F.sum(F.when(F.col("split") == s, F.col("n")).otherwise(0)).alias(s) for s in ("train", "validation", "test")))
+    near = (F.abs(F.col("train") / F.col("n") - 0.6) < 0.01) & (F.abs(F.col("validation") / F.col("n") - 0.2) < 0.01)
+    return rows.select("n_groups", "n_distinct", "n", near.alias("in_share"))
+
+
+def q_hash_split_sizes(spark, d):
+    return q_hash_split(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ord").alias("n_distinct"))
+
+
 QUERIES = {
     "collapse_commit": lambda s, d: flat(merge.collapse_to_commits(entries(s, d))), "collapse_commit_vfc_only": lambda s, d: flat(merge.collapse_to_commits(entries(s, d), False)),
     "dedup_function": lambda s, d: flat(merge.deduplicate_functions(entries(s, d))), "dedup_repo": lambda s, d: flat(merge.deduplicate_commits(entries(s, d))),
@@ -199,7 +273,9 @@ QUERIES = {
     "extend_commit_ids": q_extend_ids, "attach_commit_data": q_attach, "files_from_diff": q_files_of_diff, "git_show_parse": q_git_show, "signature": q_signature,
     "union_sources": q_union, "variant_overlap": lambda s, d: filters.from_sources(entries(s, d), ["SecTrace", "OpenMend"]).select("entry_id"),
     "history_sample": q_history_sample, "shared_commits": q_shared, "pair_overlap": q_overlap, "strip_comments": q_strip, "commit_complete": q_complete,
-    "clone_strategy": lambda s, d: stats.clone_strategy(entries(s, d)),
+    "clone_strategy": lambda s, d: stats.clone_strategy(entries(s, d)), "discover_groups": q_discover_groups, "local_edges": q_local_edges, "group_of": q_group_of,
+    "are_related": q_are_related, "revalidated": q_revalidated, "split_groups": q_split_groups, "split_scores": q_split_scores, "top_splits": q_top_splits,
+    "top_splits_check": q_top_splits_check, "hash_split_sizes": q_hash_split_sizes, "dataset_counts": lambda s, d: stats.dataset_counts(entries(s, d)),
 }
 
 
@@ -247,8 +323,48 @@ KEY = r"""CASE WHEN regexp_matches({u}, '{r}') THEN regexp_replace({u}, '{r}', '
 URL_KEY = KEY.replace("{u}", "lower(url_decode(replace(regexp_replace(project_url, '^\\s+|\\s+$', '', 'g'), '+', '%2B')))")
 _RELATED = f"""keyed AS (SELECT DISTINCT project_url AS url, array_to_string(string_split({URL_KEY}, '/')[1:4], '/') AS group_id FROM entries),
 related AS (SELECT url, k.group_id, canonical_url FROM keyed k JOIN (SELECT group_id, min(url) AS canonical_url FROM keyed WHERE group_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1) c ON k.group_id = c.group_id)"""
+_KEY_ID = r"nullif(regexp_extract(lower(commit_id), '(?:^|/)[^0-9a-z/]*([0-9a-f]{7,40})(?:\.(?:patch|diff))?[^0-9a-z?#]*(?:[?#].*)?$', 1), '')"
+_REAL_FILES = f"list_sort([p FOR p IN e.commit.files_changed IF lower(regexp_extract(p, '([^/]*)/*$', 1)) NOT IN ({_TEMPLATE})])"
+_COMMITS = f"""k0 AS (SELECT {URL_KEY} AS url, {_KEY_ID} AS c, epoch_us(e.commit.committed_at) AS ts, e.commit.message AS m, e.commit.files_changed AS f, {_REAL_FILES} AS r FROM entries e),
+k1 AS (SELECT *, len(f) BETWEEN 2 AND 20 AND len(r) >= 2 AS ok FROM k0 WHERE url IS NOT NULL AND length(c) = 40),
+sig AS (SELECT url, c, max(ts) AS ts, min(CASE WHEN ok THEN sha256(m || chr(10) || 'a|a@b|0') END) AS ch, min(CASE WHEN ok THEN sha256(array_to_string(r, chr(10))) END) AS fh FROM k1 GROUP BY 1, 2)"""
+_DISCOVER = f"""{_COMMITS}, hi AS (SELECT url, c, row_number() OVER (PARTITION BY url ORDER BY ts DESC NULLS LAST, c) - 1 AS pos, count(*) OVER (PARTITION BY url) AS n FROM sig),
+sm AS (SELECT url, c FROM hi WHERE (pos < 100 OR (n > 110 AND pos >= n - 110 AND pos < n - 10)) AND c IN (SELECT c FROM sig WHERE fh IS NOT NULL)),
+pr AS (SELECT a.url AS url1, b.url AS url2, list_sort(list(a.c)) AS cs FROM sm a JOIN sm b ON a.c = b.c AND a.url < b.url GROUP BY 1, 2),
+sh AS (SELECT a.url AS url1, b.url AS url2, count(*) / CAST(min(least(a.n, b.n)) AS DOUBLE) AS o FROM hi a JOIN hi b ON a.c = b.c AND a.url < b.url GROUP BY 1, 2),
+loc AS (SELECT pr.* FROM pr JOIN sh USING (url1, url2) WHERE o >= 0.1),
+ed AS (SELECT DISTINCT least(url1, url2) AS url1, greatest(url1, url2) AS url2, 'github_fork' AS method, CAST([] AS VARCHAR[]) AS cs FROM relationship_edges WHERE method = 'github_fork' AND url1 <> url2 UNION ALL SELECT url1, url2, 'local_history', cs FROM loc),
+e2 AS (SELECT url1 AS a, url2 AS b FROM ed UNION SELECT url2, url1 FROM ed), walk AS (SELECT a AS url, a AS label FROM e2 UNION SELECT e2.b, walk.label FROM walk JOIN e2 ON walk.url = e2.a), comp AS (SELECT url, min(label) AS label FROM walk GROUP BY 1),
+cnt AS (SELECT url AS u, count(*) AS n FROM sig GROUP BY 1), src AS (SELECT DISTINCT url2 AS s FROM relationship_edges WHERE method = 'github_fork' AND url2 IS NOT NULL)"""
+_CANON = """m AS (SELECT url, label, CASE WHEN url IN (SELECT s FROM src) THEN 1 ELSE 0 END AS f, coalesce(n, 0) AS n FROM comp LEFT JOIN cnt ON url = u),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY f DESC, n DESC, url) AS k, min(CASE WHEN f = 1 THEN url END) OVER (PARTITION BY label) AS first_src FROM m),
+canon AS (SELECT label AS l, CASE WHEN n > 0 THEN url ELSE first_src END AS canonical_url FROM r WHERE k = 1)"""
+_EDGE_GROUPS = f"""{COMPONENTS}, cnt AS (SELECT project_url AS u, count(DISTINCT commit_id) AS n FROM entries GROUP BY 1), src AS (SELECT url1 AS s FROM relationship_edges WHERE method = 'github_fork'), {_CANON}"""
+
+
+def _left_over(links: str, start: str) -> str:
+    """Members that no chain of valid edges joins to ``start``; ``links`` is a table of label, commit, url."""
+    return f"""va AS (SELECT url1 AS a, url2 AS b FROM relationship_edges WHERE method = 'github_fork' AND url1 <> url2 UNION SELECT x.url, y.url FROM {links} x JOIN {links} y ON x.label = y.label AND x.c = y.c AND x.url < y.url GROUP BY 1, 2, x.label HAVING count(DISTINCT x.c) >= 2),
+v2 AS (SELECT a, b FROM va UNION SELECT b, a FROM va), wa AS (SELECT a AS url, a AS lo FROM v2 UNION SELECT v2.b, wa.lo FROM wa JOIN v2 ON wa.url = v2.a), co AS (SELECT url, min(lo) AS lo FROM wa GROUP BY 1),
+me AS (SELECT comp.label, comp.url, coalesce(lo, comp.url) AS lo FROM comp LEFT JOIN co ON comp.url = co.url), home AS (SELECT me.label AS hl, me.lo AS hlo FROM me JOIN ({start}) st ON me.label = st.l AND me.url = st.u)
+SELECT label, url FROM me JOIN home ON label = hl WHERE lo <> hlo"""
+
+
+_LINKS = "lk AS (SELECT DISTINCT label, c, comp.url FROM (SELECT unnest(commit_ids) AS c, url1 AS u FROM relationship_edges WHERE url2 IS NOT NULL UNION SELECT unnest(commit_ids), url2 FROM relationship_edges WHERE url2 IS NOT NULL) JOIN comp ON u = comp.url)"
+_SPLIT_GROUPS = f"""{_RELATED}, sg AS (SELECT coalesce(group_id, project_url) AS group_key, split, count(*) AS n, CAST(sum(CASE WHEN is_vfc THEN 1 ELSE 0 END) AS BIGINT) AS n_vfc, count(DISTINCT project_url) AS n_urls, coalesce(min(canonical_url), min(project_url)) AS u FROM entries LEFT JOIN related ON project_url = url GROUP BY 1, 2)"""
 
 SQL = {
+    "discover_groups": f"WITH RECURSIVE {_DISCOVER}, {_CANON}, g AS (SELECT label, list_sort(list(url)) AS us FROM comp GROUP BY 1), mt AS (SELECT label AS ml, list_sort(list(DISTINCT method)) AS ms FROM ed JOIN comp ON url1 = url GROUP BY 1), nl AS (SELECT label AS nl, count(DISTINCT x) AS k FROM (SELECT url1, unnest(cs) AS x FROM ed) JOIN comp ON url1 = url GROUP BY 1) SELECT label AS group_id, canonical_url, array_to_string(us, '|') AS urls, array_to_string(ms, '|') AS methods, coalesce(k, 0) AS n_links FROM g JOIN canon ON label = l JOIN mt ON label = ml LEFT JOIN nl ON label = nl.nl",
+    "local_edges": f"WITH RECURSIVE {_DISCOVER} SELECT url1, url2, array_to_string(cs, '|') AS commits FROM loc",
+    "group_of": f"WITH RECURSIVE {_EDGE_GROUPS} SELECT entry_id, project_url AS url, label AS group_id, canonical_url FROM entries LEFT JOIN comp ON project_url = url LEFT JOIN canon ON label = l",
+    "are_related": f"WITH RECURSIVE {COMPONENTS} SELECT edge_id, url1, coalesce(url2, 'none') AS url2, coalesce(a.label = b.label, false) AS related FROM relationship_edges LEFT JOIN comp a ON url1 = a.url LEFT JOIN comp b ON url2 = b.url",
+    "suspicious": f"WITH RECURSIVE {COMPONENTS}, {_LINKS}, {_left_over('lk', 'SELECT label AS l, label AS u FROM comp WHERE url = label')}",
+    "revalidated": f"WITH RECURSIVE {_EDGE_GROUPS}, {_LINKS}, {_COMMITS}, nw AS (SELECT label, concat_ws(' ', c, ch, fh) AS c, comp.url FROM sig JOIN comp ON sig.url = comp.url WHERE ch IS NOT NULL AND fh IS NOT NULL AND NOT EXISTS (SELECT 1 FROM lk WHERE lk.label = comp.label AND lk.c = sig.c)), al AS (SELECT label, c, url FROM lk UNION ALL SELECT label, c, url FROM nw), {_left_over('al', 'SELECT label AS l, coalesce(canonical_url, min(url)) AS u FROM comp JOIN canon ON label = l GROUP BY label, canonical_url')}",
+    "split_groups": f"WITH {_SPLIT_GROUPS} SELECT group_key, split, n, n_vfc, n_urls, CASE WHEN contains(regexp_replace(u, '/+$', ''), '/') THEN array_to_string(string_split(regexp_replace(u, '/+$', ''), '/')[-2:], '/') ELSE regexp_replace(u, '/+$', '') END AS name FROM sg",
+    "split_scores": f"WITH {_SPLIT_GROUPS}, s AS (SELECT split, sum(n) / count(*) AS p, sum(n_vfc) / sum(n) AS r FROM sg GROUP BY 1), m AS (SELECT avg(p) AS mp, avg(r) AS mr FROM s), b AS (SELECT max(abs(p - mp)) / max(mp) AS x, max(abs(r - mr)) / max(mr) AS y FROM s, m) SELECT round(x, 6) AS commits_per_project_balance, round(y, 6) AS vfc_ratio_balance, round(0.4 * x + 0.6 * y, 6) AS combined_score FROM b",
+    "top_splits_check": f"WITH {_RELATED}, g AS (SELECT coalesce(group_id, project_url) AS k, count(*) AS n FROM entries LEFT JOIN related ON project_url = url GROUP BY 1), t AS (SELECT count(*) AS n_groups, count(*) AS n_distinct, CAST(sum(n) AS BIGINT) AS n, true AS in_share FROM g) SELECT t.* FROM t, range(3)",
+    "hash_split_sizes": "WITH x AS (SELECT count(*) AS n, CAST(trunc(count(*) * CAST(0.6 AS DOUBLE)) AS BIGINT) AS a, CAST(trunc(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS b FROM entries) SELECT 'train' AS split, a AS n, a AS n_distinct FROM x UNION ALL SELECT 'validation', b, b FROM x UNION ALL SELECT 'test', n - a - b, n - a - b FROM x",
+    "dataset_counts": "WITH x AS (SELECT unnest(src_datasets) AS src_dataset, coalesce(is_vfc, false) AS v, CASE WHEN function_name IS NOT NULL THEN struct_pack(a := project_url, b := commit_id, c := function_name, d := function_file) END AS f FROM entries) SELECT src_dataset, count(*) FILTER (v) AS n_vfc, count(*) FILTER (NOT v) AS n_other, count(DISTINCT f) FILTER (v) AS n_vfc_functions, count(DISTINCT f) FILTER (NOT v) AS n_other_functions FROM x GROUP BY 1",
     "collapse_commit": f"SELECT project_url, commit_id, {_NONE} AS function_name, {_merged('bool_or(is_vfc)')} FROM entries e GROUP BY 1, 2",
     "collapse_commit_vfc_only": f"SELECT project_url, commit_id, {_NONE} AS function_name, {_merged('bool_or(is_vfc)')} FROM entries e GROUP BY 1, 2 HAVING bool_or(is_vfc)",
     "dedup_function": f"SELECT project_url, commit_id, function_name, {_merged(_FIRST_LABEL)} FROM entries e GROUP BY 1, 2, 3 {_AGREE}",
