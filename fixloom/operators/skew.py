@@ -36,15 +36,20 @@ def _dense(key: str, sums: list[str]):
                 block = np.concatenate([block, np.zeros_like(block)])
             for j, name in enumerate(sums):
                 values = np.asarray(batch.column(batch.schema.get_field_index(name)))
-                block[slots, j] += np.bincount(codes, weights=values, minlength=len(names)).astype(np.int64)
-        if index:
-            columns = [pa.array(list(index), kind.field(key).type), *(pa.array(block[: len(index), j]) for j in range(len(sums)))]
+                if int(np.abs(values).max()) < (1 << 53) // len(values):
+                    block[slots, j] += np.bincount(codes, weights=values, minlength=len(names)).astype(np.int64)
+                else:  # sums beyond the whole numbers of a double
+                    np.add.at(block[:, j], slots[codes], values)
+        names = list(index)
+        for a in range(0, len(names), 10_000):
+            some = names[a : a + 10_000]
+            columns = [pa.array(some, kind.field(key).type), *(pa.array(block[a : a + len(some), j]) for j in range(len(sums)))]
             yield pa.RecordBatch.from_arrays(columns, [key, *sums])
 
     return run
 
 
-def per_key_totals(df: DataFrame, key: str, distinct: Column, measures: dict[str, Column], n_rows: str = "n_rows", n_distinct: str = "n_distinct") -> DataFrame:
+def per_key_totals(df: DataFrame, key: str, distinct: Column | None, measures: dict[str, Column], n_rows: str = "n_rows", n_distinct: str = "n_distinct") -> DataFrame:
     """Per value of ``key``: rows, distinct values of ``distinct``, and the sum of each 0/1 or whole-number measure.
 
     1. Rows are pre-aggregated map-side by (key, distinct value) and hashed by both, so a hot key is cut into as
@@ -52,10 +57,19 @@ def per_key_totals(df: DataFrame, key: str, distinct: Column, measures: dict[str
        a dense array (numpy ``bincount``). 3. The array blocks, one row for each key and split, are summed in a
        second distributed reduction. No task sees more of a hot key than its share of distinct values.
 
+    Without ``distinct`` there is no first shuffle: the input splits themselves, equal by size, are encoded and added up, and
+    no ``n_distinct`` comes out.
+
     NULL is a key of its own; NULL in ``distinct`` counts as no value; NULL measures count 0. Empty input gives
     no rows. Other columns of ``df`` play no part, whatever their names.
     """
     names = list(measures)
+    if distinct is None:
+        sums = ["_rows", *(f"_m{i}" for i in range(len(names)))]
+        schema = T.StructType([T.StructField("_key", df.schema[key].dataType), *(T.StructField(s, T.LongType()) for s in sums)])
+        ones = df.select(F.col(key).alias("_key"), F.lit(1).cast("long").alias("_rows"), *(F.coalesce(m.cast("long"), F.lit(0)).alias(f"_m{i}") for i, m in enumerate(measures.values())))
+        total = ones.mapInArrow(_dense("_key", sums), schema).repartition("_key").mapInArrow(_dense("_key", sums), schema)
+        return total.select(F.col("_key").alias(key), F.col("_rows").alias(n_rows), *(F.col(f"_m{i}").alias(n) for i, n in enumerate(names)))
     base = df.select(F.col(key).alias("_key"), distinct.alias("_value"), *(F.coalesce(m.cast("long"), F.lit(0)).alias(f"_m{i}") for i, m in enumerate(measures.values())))
     pairs = base.groupBy("_key", "_value").agg(F.count(F.lit(1)).alias("_rows"), *(F.sum(f"_m{i}").alias(f"_m{i}") for i in range(len(names))))
     pairs = pairs.select("_key", "_rows", F.col("_value").isNotNull().cast("long").alias("_values"), *(f"_m{i}" for i in range(len(names))))

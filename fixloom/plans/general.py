@@ -19,7 +19,7 @@ def project_totals(spark, d):
 
 def p2_found(spark, d):
     total = table(spark, d, "entries").count()
-    return project_totals(spark, d).where((F.col("n_rows") * 100 > 3 * total) & F.col("project_url").isNotNull()).select("project_url")
+    return per_key_totals(table(spark, d, "entries"), "project_url", None, {}).where((F.col("n_rows") * 100 > 3 * total) & F.col("project_url").isNotNull()).select("project_url")
 
 
 def p4_found(spark, d):

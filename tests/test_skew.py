@@ -20,3 +20,13 @@ def test_salted_join(spark):
         b = rows.join(small, "k", how).select("id", "k", "v")
         assert a.count() == b.count() and a.exceptAll(b).isEmpty()
     assert salted_join(rows.limit(0), small, "k", F.col("id")).count() == 0
+
+
+def test_totals_of_input_splits(spark):
+    """Without distinct values: one reduction, sums beyond 2**53 exact, NULL a key, thousands of keys in slices."""
+    big = 2**60 + 1
+    df = spark.range(60_000, numPartitions=5).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 1000 == 1, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id") % 25_000)).alias("k"), F.when(F.col("id") == 4, big).otherwise(F.lit(1)).alias("v"), F.lit("x").alias("_key"))
+    got = {r.k: (r.n_rows, r.s) for r in per_key_totals(df, "k", None, {"s": F.col("v")}).collect()}
+    want = {r.k: (r.n, r.s) for r in df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s")).collect()}
+    assert got == want and len(want) > 15_000 and max(s for _, s in want.values()) > 2**60
+    assert per_key_totals(df.limit(0), "k", None, {}).count() == 0
