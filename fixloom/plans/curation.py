@@ -184,6 +184,27 @@ def q_strip(spark, d):
     return enrich.strip_code(table(spark, d, "part").select("p_partkey", F.lit("src/a.c").alias("path"), code.alias("code")))
 
 
+def q_stripped_diffs(spark, d):
+    """Parts as files of two versions: a third changes its comment alone, a third its code, a third is no source code."""
+    part = table(spark, d, "part")
+    code = lambda value, note: F.concat(F.lit("int size = "), value, F.lit("; // "), note, F.lit("\nchar *s = \"//\";\n"))
+    kind = F.col("p_partkey") % 3
+    size = F.col("p_size").cast("string")
+    files = part.select(
+        F.col("p_brand").alias("project_url"), F.sha1(F.col("p_partkey").cast("string")).alias("commit_id"), F.when(kind == 2, "README").otherwise("src/a.c").alias("path"), code(size, F.col("p_name")).alias("before"),
+        code(F.when(kind == 1, F.concat(size, F.lit("0"))).otherwise(size), F.col("p_type")).alias("after"), F.lit("100644").alias("mode"), F.concat(F.lit("diff "), "p_name").alias("original"),
+    )
+    out = enrich.diffs_without_comments(files)
+    return out.select("project_url", "commit_id", F.regexp_replace("diff", r"(?m)^index [0-9a-f]{7}\.\.[0-9a-f]{7}", "index x..y").alias("diff"))
+
+
+def q_offline(spark, d):
+    data = table(spark, d, "commit_data").select("project_url", "commit_id", F.col("row_id").alias("_ord"), "message", F.lit(None).cast("string").alias("diff"), "files_changed", F.col("ingested_at").alias("authored_at"), F.lit(None).cast("timestamp").alias("committed_at"))
+    e = entries(spark, d)
+    out = enrich.attach(e, enrich.offline_commits(e, data))
+    return out.select("entry_id", F.md5("commit.message").alias("message_md5"), F.array_join("commit.files_changed", "|").alias("files"), F.unix_micros("commit.authored_at").alias("authored_us"))
+
+
 def q_complete(spark, d):
     b = filters.bound_diffs(entries(spark, d))
     return b.select("entry_id", commit_text.is_complete(F.col("commit")).alias("complete"), F.length("commit.diff").cast("long").alias("n_diff"))
@@ -275,7 +296,7 @@ QUERIES = {
     "history_sample": q_history_sample, "shared_commits": q_shared, "pair_overlap": q_overlap, "strip_comments": q_strip, "commit_complete": q_complete,
     "clone_strategy": lambda s, d: stats.clone_strategy(entries(s, d)), "discover_groups": q_discover_groups, "local_edges": q_local_edges, "group_of": q_group_of,
     "are_related": q_are_related, "revalidated": q_revalidated, "split_groups": q_split_groups, "split_scores": q_split_scores, "top_splits": q_top_splits,
-    "top_splits_check": q_top_splits_check, "hash_split_sizes": q_hash_split_sizes, "dataset_counts": lambda s, d: stats.dataset_counts(entries(s, d)),
+    "top_splits_check": q_top_splits_check, "hash_split_sizes": q_hash_split_sizes, "stripped_diffs": q_stripped_diffs, "offline_commits": q_offline, "dataset_counts": lambda s, d: stats.dataset_counts(entries(s, d)),
 }
 
 
@@ -364,6 +385,9 @@ SQL = {
     "split_scores": f"WITH {_SPLIT_GROUPS}, s AS (SELECT split, sum(n) / count(*) AS p, sum(n_vfc) / sum(n) AS r FROM sg GROUP BY 1), m AS (SELECT avg(p) AS mp, avg(r) AS mr FROM s), b AS (SELECT max(abs(p - mp)) / max(mp) AS x, max(abs(r - mr)) / max(mr) AS y FROM s, m) SELECT round(x, 6) AS commits_per_project_balance, round(y, 6) AS vfc_ratio_balance, round(0.4 * x + 0.6 * y, 6) AS combined_score FROM b",
     "top_splits_check": f"WITH {_RELATED}, g AS (SELECT coalesce(group_id, project_url) AS k, count(*) AS n FROM entries LEFT JOIN related ON project_url = url GROUP BY 1), t AS (SELECT count(*) AS n_groups, count(*) AS n_distinct, CAST(sum(n) AS BIGINT) AS n, true AS in_share FROM g) SELECT t.* FROM t, range(3)",
     "hash_split_sizes": "WITH x AS (SELECT count(*) AS n, CAST(trunc(count(*) * CAST(0.6 AS DOUBLE)) AS BIGINT) AS a, CAST(trunc(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS b FROM entries) SELECT 'train' AS split, a AS n, a AS n_distinct FROM x UNION ALL SELECT 'validation', b, b FROM x UNION ALL SELECT 'test', n - a - b, n - a - b FROM x",
+    "strip_comments": """SELECT p_partkey, 'src/a.c' AS path, concat('int a;', chr(10), 'char *s = "//";', chr(10)) AS code FROM part""",
+    "stripped_diffs": """SELECT p_brand AS project_url, sha1(CAST(p_partkey AS VARCHAR)) AS commit_id, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 2 THEN concat('diff ', p_name) ELSE array_to_string(['diff --git a/src/a.c b/src/a.c', 'index x..y 100644', '--- a/src/a.c', '+++ b/src/a.c', '@@ -1,2 +1,2 @@', concat('-int size = ', p_size, ';'), concat('+int size = ', p_size, '0;'), ' char *s = "//";'], chr(10)) END AS diff FROM part""",
+    "offline_commits": "WITH c AS (SELECT project_url, commit_id, arg_min(message, row_id) FILTER (message IS NOT NULL) AS m, arg_min(files_changed, row_id) FILTER (len(files_changed) > 0) AS f, arg_min(ingested_at, row_id) FILTER (ingested_at IS NOT NULL) AS t FROM commit_data GROUP BY 1, 2), x AS (SELECT entry_id, e.commit AS c0, c.m, c.f, c.t, e.commit.message IS NOT NULL AND e.commit.diff IS NOT NULL AND e.commit.authored_at IS NOT NULL AND e.commit.committed_at IS NOT NULL AND len(e.commit.files_changed) > 0 AS whole FROM entries e LEFT JOIN c ON e.project_url = c.project_url AND e.commit_id = c.commit_id) SELECT entry_id, md5(CASE WHEN whole THEN c0.message ELSE coalesce(c0.message, m) END) AS message_md5, coalesce(array_to_string(CASE WHEN whole OR len(c0.files_changed) > 0 THEN c0.files_changed ELSE f END, '|'), '') AS files, epoch_us(CASE WHEN whole THEN c0.authored_at ELSE coalesce(c0.authored_at, t) END) AS authored_us FROM x",
     "dataset_counts": "WITH x AS (SELECT unnest(src_datasets) AS src_dataset, coalesce(is_vfc, false) AS v, CASE WHEN function_name IS NOT NULL THEN struct_pack(a := project_url, b := commit_id, c := function_name, d := function_file) END AS f FROM entries) SELECT src_dataset, count(*) FILTER (v) AS n_vfc, count(*) FILTER (NOT v) AS n_other, count(DISTINCT f) FILTER (v) AS n_vfc_functions, count(DISTINCT f) FILTER (NOT v) AS n_other_functions FROM x GROUP BY 1",
     "collapse_commit": f"SELECT project_url, commit_id, {_NONE} AS function_name, {_merged('bool_or(is_vfc)')} FROM entries e GROUP BY 1, 2",
     "collapse_commit_vfc_only": f"SELECT project_url, commit_id, {_NONE} AS function_name, {_merged('bool_or(is_vfc)')} FROM entries e GROUP BY 1, 2 HAVING bool_or(is_vfc)",

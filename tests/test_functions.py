@@ -112,3 +112,36 @@ def test_commits_of_entries_by_join_or_broadcast(spark):
     for few in (0, 10_000):
         got = [tuple(r) for r in commit_entries(df, "entry_id", few=few).select("entry_id", "commit_of").collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_comments_of_hard_code():
+    strip = comments.strip_comments
+    assert strip("var r = /[\"'/]\\/\\//g; // c\nx = a / b; // d / e\n", "javascript") == "var r = /[\"'/]\\/\\//g;\nx = a / b;\n"
+    assert strip("f(/'/, `// ${a} /* b */`); /* c */\n", "javascript") == "f(/'/, `// ${a} /* b */`);\n"
+    assert strip('auto s = R"x(// " )" /* no */)x"; // c\n', "cpp") == 'auto s = R"x(// " )" /* no */)x";\n'
+    assert strip('String t = """\n// kept\n"quote" """; // c\n', "java") == 'String t = """\n// kept\n"quote" """;\n'
+    assert strip("a; /* 1 */ /* 2 */ b; /* 3\n4 */ c;\n/* 5 */\n", "c") == "a; b; c;\n"
+    assert strip("", "c") == "" and strip("fn f<'a>() {} // c", "rust") is None
+    deep = "void f() " + "".join(f"{{ /* comment_{i} */ " for i in range(20_000)) + "} " * 20_000
+    assert "comment_" not in strip(deep, "c") and strip("/* " * 100_000, "c") == "" and strip("'" * 100_001 + "// c", "c").startswith("''")
+
+
+def test_diffs_of_files():
+    assert comments.diff_of("a\nb\n", "a\nb\n", "p") == ""
+    want = ["diff --git a/x/f.c b/x/f.c", "index 422c2b7..9405325 100755", "--- a/x/f.c", "+++ b/x/f.c", "@@ -1,2 +1,2 @@", " a", "-b", "+c", "\\ No newline at end of file"]
+    assert comments.diff_of("a\nb\n", "a\nc", "x/f.c", "100755").split("\n")[4:] == want[4:]
+    assert comments.diff_of("a\nb\n", "a\nc", "x/f.c", "100755").split("\n")[:1] == want[:1]
+    assert comments._blob("") == "0000000" and comments._blob("hello\n") == "ce01362"  # as git names it
+
+
+def test_commits_without_comments(spark):
+    from fixloom.operators.enrich import diffs_without_comments
+
+    rows = [("p", "c1", "b.c", "int a; // x\n", "int a; // y\n", None, "o1"), ("p", "c1", "a.py", "x = 1\n", "x = 2  # n\n", None, "o2"), ("p", "c1", "T.md", "a", "b", None, "o3"),
+            ("p", "c2", "n.c", None, "int n;\n", None, "o4"), ("p", "c3", "only.c", "// a\n", "// b\n", None, "o5")]
+    files = spark.createDataFrame(rows, "project_url string, commit_id string, path string, before string, after string, mode string, original string")
+    got = {r.commit_id: r.diff for r in diffs_without_comments(files).collect()}
+    assert got["c3"] == "" and got["c1"].startswith("o3\ndiff --git a/a.py b/a.py\n") and "b.c" not in got["c1"] and "+x = 2" in got["c1"] and "# n" not in got["c1"]
+    assert "+int n;" in got["c2"] and "index 0000000.." in got["c2"]
+    assert "o3" not in {r.commit_id: r.diff for r in diffs_without_comments(files, False).collect()}["c1"]
+    assert diffs_without_comments(files.limit(0)).count() == 0
