@@ -79,6 +79,11 @@ def field_texts() -> dict[str, Column]:
     return {f: F.when(ok[f], values[f]) for f in FIELDS} | {"src_datasets": joined(F.filter("src_datasets", usable_text))}
 
 
+def _digest(text: Column) -> Column:
+    """128 bits of SHA-256."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
 def consensus_fields(entries: DataFrame, catalogue: DataFrame, texts: dict[str, Column], chunk: int = 32, few: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """Groups (``g, first_id``) of entries of one commit and function, and winners (``g, field, entry_id``): for each
     of the fields ``texts`` the entry whose value agrees best with the others of its group.
@@ -95,9 +100,9 @@ def consensus_fields(entries: DataFrame, catalogue: DataFrame, texts: dict[str,
     """
     each = F.array(*(F.struct(F.lit(f).alias("field"), t.alias("text")) for f, t in texts.items()))
     weight = F.lit(1.0) / F.greatest(trust_of(F.col("src_datasets"), catalogue), F.lit(1))
-    digests = F.transform(F.filter(each, lambda x: x["text"].isNotNull()), lambda x: F.struct(x["field"].alias("field"), F.unhex(F.sha2(x["text"], 256)).alias("d")))
+    digests = F.transform(F.filter(each, lambda x: x["text"].isNotNull()), lambda x: F.struct(x["field"].alias("field"), _digest(x["text"]).alias("d")))
     keyed = commit_entries(entries.select("entry_id", "project_url", "commit_id", "function_name", weight.alias("weight"), digests.alias("digests")), "entry_id", "function_name", "weight", "digests")
-    key = F.unhex(F.sha2(F.concat_ws("\u0001", F.col("commit_of"), F.coalesce("function_name", F.lit("\u0000"))), 256))
+    key = _digest(F.concat_ws("\u0001", F.col("commit_of"), F.coalesce("function_name", F.lit("\u0000"))))
     keyed = written(keyed.select(key.alias("g"), "entry_id", "weight", "digests"), "keyed")
     groups = written(keyed.groupBy("g").agg(F.min("entry_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "first_id"), "groups")
     flat = keyed.select("g", "entry_id", "weight", F.inline("digests"))
@@ -111,7 +116,7 @@ def consensus_fields(entries: DataFrame, catalogue: DataFrame, texts: dict[str,
     contested = written(votes.join(sizes.where(~agreed_on).select("g", "field"), ["g", "field"], "left_semi"), "contested")
     wanted = contested.select("entry_id").distinct()
     wanted = F.broadcast(wanted) if contested.count() <= few else wanted
-    values = entries.join(wanted, "entry_id", "left_semi").select("entry_id", F.inline(each)).where("text IS NOT NULL").select("entry_id", "field", "text", F.unhex(F.sha2("text", 256)).alias("d"))
+    values = entries.join(wanted, "entry_id", "left_semi").select("entry_id", F.inline(each)).where("text IS NOT NULL").select("entry_id", "field", "text", _digest(F.col("text")).alias("d"))
     votes = written(contested.join(values, ["entry_id", "field", "d"]).select("g", "field", "text", "weight", "entry_id"), "votes")
     while True:
         sizes = votes.groupBy("g", "field").agg(F.count(F.lit(1)).alias("k"))
@@ -135,16 +140,20 @@ def consensus_records(entries: DataFrame, catalogue: DataFrame, chunk: int = 32)
     """One record for each group of two entries or more, every field from the entry whose value of it agrees best.
 
     ``first_id``, its project, commit id and function; the fields of ``FIELDS`` and ``src_datasets``, NULL without any
-    usable value.
+    usable value. An entry that wins fields is joined once, whatever their number, and only the values that won go on.
     """
     texts = field_texts()
     groups, done = consensus_fields(entries, catalogue, texts, chunk)
-    picks = done.join(groups, "g").unionByName(groups.select("g", F.lit("").alias("field"), F.col("first_id").alias("entry_id"), "first_id"))
+    fields = [*texts, ""]
+    winners = done.join(groups, "g").select("g", "first_id", "entry_id", "field").unionByName(groups.select("g", "first_id", F.col("first_id").alias("entry_id"), F.lit("").alias("field")))
+    chosen = F.expr(" | ".join(f"bit_or(CASE WHEN field = '{f}' THEN {1 << i} ELSE 0 END)" for i, f in enumerate(fields)))
+    picks = winners.groupBy("g", "first_id", "entry_id").agg(chosen.alias("_chosen"))
     of = {"project_url": "", "commit_id": "", "function_name": ""} | {f: f for f in texts}
     commit = F.col("commit")
     columns = {c: commit[c] if c in FIELDS and c != "cve_ids" else F.col(c) for c in of}
     rows = picks.join(entries.select("entry_id", *(v.alias(c) for c, v in columns.items())), "entry_id")
-    return rows.groupBy("g").agg(F.min("first_id").alias("first_id"), *(F.min(F.when(F.col("field") == f, F.col(c))).alias(c) for c, f in of.items())).drop("g")
+    kept = [F.when(F.col("_chosen").bitwiseAND(F.lit(1 << fields.index(f))) != 0, F.col(c)).alias(c) for c, f in of.items()]
+    return rows.select("g", "first_id", *kept).groupBy("g").agg(F.min("first_id").alias("first_id"), *(F.first(c, ignorenulls=True).alias(c) for c in of)).drop("g")
 
 
 def consensus_messages(entries: DataFrame, catalogue: DataFrame) -> DataFrame:
