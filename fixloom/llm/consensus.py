@@ -84,6 +84,26 @@ def _digest(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
+def ballots(entries: DataFrame, catalogue: DataFrame, texts: dict[str, Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups (``g, first_id``), votes (``g, field, d, weight, entry_id``, a row for each distinct value) and counts
+    (``g, field, k, major, entry_id``: values, whether one has the majority, the heaviest one's smallest entry).
+    """
+    each = F.array(*(F.struct(F.lit(f).alias("field"), t.alias("text")) for f, t in texts.items()))
+    weight = F.lit(1.0) / F.greatest(trust_of(F.col("src_datasets"), catalogue), F.lit(1))
+    digests = F.transform(F.filter(each, lambda x: x["text"].isNotNull()), lambda x: F.struct(x["field"].alias("field"), _digest(x["text"]).alias("d")))
+    keyed = commit_entries(entries.select("entry_id", "project_url", "commit_id", "function_name", weight.alias("weight"), digests.alias("digests")), "entry_id", "function_name", "weight", "digests")
+    key = _digest(F.concat_ws("\u0001", F.col("commit_of"), F.coalesce("function_name", F.lit("\u0000"))))
+    keyed = written(keyed.select(key.alias("g"), "entry_id", "weight", "digests"), "keyed")
+    groups = written(keyed.groupBy("g").agg(F.min("entry_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "first_id"), "groups")
+    flat = keyed.select("g", "entry_id", "weight", F.inline("digests"))
+    votes = flat.groupBy("g", "field", "d").agg(F.round(F.sum("weight"), 9).alias("weight"), F.min("entry_id").alias("entry_id")).join(groups.select("g"), "g", "left_semi")
+    votes = written(votes, "votes")
+    heaviest = F.max(F.struct("weight", (-F.col("entry_id")).alias("e")))
+    sizes = votes.groupBy("g", "field").agg(F.count(F.lit(1)).alias("k"), F.sum("weight").alias("all"), heaviest.alias("top"))
+    sizes = written(sizes.select("g", "field", "k", (F.col("top.weight") * 2 > F.col("all") + 1e-6).alias("major"), (-F.col("top.e")).alias("entry_id")), "sizes")
+    return groups, votes, sizes.withColumn("major", F.col("major") | (F.col("k") == 1))
+
+
 def consensus_fields(entries: DataFrame, catalogue: DataFrame, texts: dict[str, Column], chunk: int = 32, few: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """Groups (``g, first_id``) of entries of one commit and function, and winners (``g, field, entry_id``): for each
     of the fields ``texts`` the entry whose value agrees best with the others of its group.
@@ -98,22 +118,10 @@ def consensus_fields(entries: DataFrame, catalogue: DataFrame, texts: dict[str,
     commit id, give no winner. Ties go to the heavier, then the smaller entry. Texts are read whole, however long;
     aligning two grows with the product of their lengths at worst.
     """
+    groups, votes, sizes = ballots(entries, catalogue, texts)
+    done = sizes.where("major").select("g", "field", "entry_id")
     each = F.array(*(F.struct(F.lit(f).alias("field"), t.alias("text")) for f, t in texts.items()))
-    weight = F.lit(1.0) / F.greatest(trust_of(F.col("src_datasets"), catalogue), F.lit(1))
-    digests = F.transform(F.filter(each, lambda x: x["text"].isNotNull()), lambda x: F.struct(x["field"].alias("field"), _digest(x["text"]).alias("d")))
-    keyed = commit_entries(entries.select("entry_id", "project_url", "commit_id", "function_name", weight.alias("weight"), digests.alias("digests")), "entry_id", "function_name", "weight", "digests")
-    key = _digest(F.concat_ws("\u0001", F.col("commit_of"), F.coalesce("function_name", F.lit("\u0000"))))
-    keyed = written(keyed.select(key.alias("g"), "entry_id", "weight", "digests"), "keyed")
-    groups = written(keyed.groupBy("g").agg(F.min("entry_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "first_id"), "groups")
-    flat = keyed.select("g", "entry_id", "weight", F.inline("digests"))
-    votes = flat.groupBy("g", "field", "d").agg(F.round(F.sum("weight"), 9).alias("weight"), F.min("entry_id").alias("entry_id")).join(groups.select("g"), "g", "left_semi")
-    votes = written(votes, "votes")
-    heaviest = F.max(F.struct("weight", (-F.col("entry_id")).alias("e")))
-    sizes = votes.groupBy("g", "field").agg(F.count(F.lit(1)).alias("k"), F.sum("weight").alias("all"), heaviest.alias("top"))
-    sizes = written(sizes.select("g", "field", "k", (F.col("top.weight") * 2 > F.col("all") + 1e-6).alias("major"), (-F.col("top.e")).alias("entry_id")), "sizes")
-    agreed_on = F.col("major") | (F.col("k") == 1)
-    done = sizes.where(agreed_on).select("g", "field", "entry_id")
-    contested = written(votes.join(sizes.where(~agreed_on).select("g", "field"), ["g", "field"], "left_semi"), "contested")
+    contested = written(votes.join(sizes.where("NOT major").select("g", "field"), ["g", "field"], "left_semi"), "contested")
     wanted = contested.select("entry_id").distinct()
     wanted = F.broadcast(wanted) if contested.count() <= few else wanted
     values = entries.join(wanted, "entry_id", "left_semi").select("entry_id", F.inline(each)).where("text IS NOT NULL").select("entry_id", "field", "text", _digest(F.col("text")).alias("d"))
@@ -159,3 +167,11 @@ def consensus_records(entries: DataFrame, catalogue: DataFrame, chunk: int = 32)
 def consensus_messages(entries: DataFrame, catalogue: DataFrame) -> DataFrame:
     """``first_id, entry_id`` of the commit message that agrees best with the others of its group."""
     return consensus_values(entries, catalogue, F.col("commit.message"), usable(F.col("commit"), F.col("cve_ids"))["message"])
+
+
+def majorities(entries: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """``first_id, field_name, n_values, entry_id``: for each field with a usable value the entry whose value has the
+    majority of its group's weight, NULL where none has it and the values have to be aligned.
+    """
+    groups, _, sizes = ballots(entries, catalogue, field_texts())
+    return sizes.join(groups, "g").select("first_id", F.col("field").alias("field_name"), F.col("k").alias("n_values"), F.when(F.col("major"), F.col("entry_id")).alias("entry_id"))

@@ -16,6 +16,7 @@ QUERIES = {
     "p3_sizes": lambda spark, d: components.group_report(table(spark, d, "relationship_edges"), "url1", "url2").toDF("group_url", "n_members"),
     "p5_found": lambda spark, d: representative.found(table(spark, d, "entries"), table(spark, d, "src_catalog")),
     "p5_consensus": lambda spark, d: consensus.consensus_records(table(spark, d, "entries"), table(spark, d, "src_catalog")),
+    "p5_majority": lambda spark, d: consensus.majorities(table(spark, d, "entries"), table(spark, d, "src_catalog")),
     "p6_found": lambda spark, d: canonical.copies(table(spark, d, "raw_records")),
     "p6_collapsed": lambda spark, d: canonical.collapsed(table(spark, d, "raw_records")),
     "p7_found": lambda spark, d: splits.found(table(spark, d, "entries")),

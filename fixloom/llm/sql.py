@@ -20,6 +20,14 @@ _FLAGS = {
 }
 _RANK = "struct_pack(t := coalesce(t, 2147483647), a := coalesce(-epoch_us(ingested_at), 9223372036854775807), e := entry_id)"
 
+_VALUES = {
+    "cve_ids": "array_to_string(list_sort(list_distinct([upper(trim(v)) FOR v IN coalesce(cve_ids, []) IF regexp_full_match(upper(trim(v)), 'CVE-[0-9]{4}-[0-9]{4,}')])), '|')",
+    "message": "x.commit.message", "diff": "x.commit.diff",
+    "files_changed": "array_to_string(list_sort(list_distinct([v FOR v IN x.commit.files_changed IF " + _TEXT.format(t="v") + "])), '|')",
+    "authored_at": "CAST(epoch_us(x.commit.authored_at) AS VARCHAR)", "committed_at": "CAST(epoch_us(x.commit.committed_at) AS VARCHAR)",
+    "src_datasets": "array_to_string(list_sort(list_distinct([v FOR v IN src_datasets IF " + _TEXT.format(t="v") + "])), '|')",
+}
+_USABLE = _FLAGS | {"src_datasets": "len([v FOR v IN coalesce(src_datasets, []) IF " + _TEXT.format(t="v") + "]) > 0"}
 _BLANK = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 
 
@@ -33,6 +41,13 @@ rec AS (SELECT raw_id, {_bare('p')} AS p, {_bare('c')} AS c, array_to_string(lis
 grp AS (SELECT *, min(raw_id) OVER (PARTITION BY p, c, f) AS first_id FROM rec)"""
 
 SQL = {
+    "p5_majority": f"""WITH {KEYED}, src AS (SELECT entry_id AS e0, min(trust) AS t FROM (SELECT entry_id, unnest(src_datasets) AS s FROM entries) JOIN src_catalog ON s = src_dataset GROUP BY 1),
+r AS (SELECT commit_of AS c, coalesce(function_name, chr(1)) AS f, entry_id, CAST(1 AS DOUBLE) / greatest(coalesce(t, 2147483647), 1) AS w, {', '.join(f'CASE WHEN {_USABLE[k]} THEN {v} END AS v_{k}' for k, v in _VALUES.items())} FROM keyed x LEFT JOIN src ON e0 = entry_id),
+g AS (SELECT c, f, min(entry_id) AS first_id FROM r GROUP BY 1, 2 HAVING count(*) > 1),
+u AS ({' UNION ALL '.join(f"SELECT c, f, '{k}' AS field_name, v_{k} AS v, w, entry_id FROM r WHERE v_{k} IS NOT NULL" for k in _VALUES)}),
+vo AS (SELECT c, f, field_name, v, round(sum(w), 9) AS w, min(entry_id) AS entry_id FROM u GROUP BY 1, 2, 3, 4),
+z AS (SELECT c, f, field_name, count(*) AS n_values, sum(w) AS al, max(struct_pack(w := w, e := -entry_id)) AS top FROM vo GROUP BY 1, 2, 3)
+SELECT first_id, field_name, n_values, CASE WHEN n_values = 1 OR top.w * 2 > al + 1e-6 THEN -top.e END AS entry_id FROM z JOIN g USING (c, f)""",
     "p1_commits": f"WITH {KEYED}, c AS (SELECT commit_of, min(entry_id) AS first_id, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split <> 'train') AS n_held FROM keyed WHERE split IN ('train', 'validation', 'test') GROUP BY 1) SELECT * FROM c WHERE n_train > 0 AND n_held > 0",
     "p7_check": "SELECT count(*) AS n_entries, CAST(0 AS BIGINT) AS n_projects, CAST(0 AS BIGINT) AS n_commits, true AS in_share FROM entries",
     "p8_check": "SELECT target_id, count(DISTINCT doc_id) AS n_documents, CAST(0 AS BIGINT) AS n_overfull, CAST(0 AS BIGINT) AS n_gaps, CAST(0 AS BIGINT) AS n_cut FROM pack_targets, documents GROUP BY 1",
